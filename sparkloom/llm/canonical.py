@@ -13,6 +13,7 @@ to no class; line ends are kept as they are; texts of any length are processed w
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.operators.lineage import cut
+
 # Ranges of the Unicode property Default_Ignorable_Code_Point.
 IGNORABLE_RANGES = (
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
@@ -81,20 +84,52 @@ def _one_script(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_latin()))
 
 
+#: A run of other than ASCII characters with the ASCII one before it: marks compose with what stands before them, never
+#: with what follows, so runs can be mapped one by one and remembered.
+_RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
+
+
+def _canonical_run(run: str) -> str:
+    run = unicodedata.normalize("NFKC", run.translate(_drops_and_spaces()))
+    run = _one_script(run.translate(_drops_and_spaces())).casefold()
+    return unicodedata.normalize("NFKC", run).translate(_drops_and_spaces())
+
+
+def _look_run(run: str) -> str:
+    return _one_script(run.translate(_drops_and_spaces()).translate(_look()).translate(_drops_and_spaces()))
+
+
+class _Remembered(dict):
+    """run -> its form, up to ``limit`` runs of ordinary length."""
+
+    def __init__(self, fn, limit: int = 1 << 18):
+        super().__init__()
+        self.fn, self.limit = fn, limit
+
+    def __missing__(self, run: str) -> str:
+        form = self.fn(run)
+        if len(run) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[run] = form
+        return form
+
+
+_canonical_runs, _look_runs = _Remembered(_canonical_run), _Remembered(_look_run)
+
+
 def canonical_form(text: str) -> str:
     """The form in which texts that look the same are equal (texts that differ only by case or superscripts are, too)."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKC", text.translate(_drops_and_spaces()))
-    text = _one_script(text.translate(_drops_and_spaces())).casefold()
-    return unicodedata.normalize("NFKC", text).translate(_drops_and_spaces())
+    return _RUN.sub(lambda m: _canonical_runs[m[0]], text).lower()
 
 
 def look_form(text: str) -> str:
     """The form in which two texts are equal exactly when they are drawn alike: case, accents, digits and line ends count."""
     if text.isascii():
         return text
-    return _one_script(text.translate(_drops_and_spaces()).translate(_look()).translate(_drops_and_spaces()))
+    return _RUN.sub(lambda m: _look_runs[m[0]], text)
 
 
 def is_blank(form: str) -> bool:
@@ -136,8 +171,8 @@ def canonical_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         look = look_form(text)
         if is_blank(look):
             return None
-        form = canonical_form(text)
-        return {"c": _digest(form), "l": _digest(look), "r": _digest(text), "x": form != text}
+        form, raw = canonical_form(text), _digest(text)
+        return {"c": _digest(form), "l": raw if look == text else _digest(look), "r": raw, "x": form != text}
 
     kind = pa.struct([("c", pa.binary()), ("l", pa.binary()), ("r", pa.binary()), ("x", pa.bool_())])
 
@@ -157,7 +192,7 @@ def canonical_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A class holds the documents of equal canonical form. Classes are aggregated with map-side combine; members are
     joined back by the class key, never gathered into one task.
     """
-    keys = canonical_keys(df, id_col, text_col)
+    keys = cut(canonical_keys(df, id_col, text_col).select("id", "canonical_key", "raw_key"))
     texts = keys.groupBy("canonical_key", "raw_key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     classes = texts.groupBy("canonical_key").agg(F.min("id").alias("class_id"), F.count("*").alias("texts"), F.sum("n").alias("documents"))
     return keys.join(classes.where("texts > 1"), "canonical_key").select("id", "class_id", "texts", "documents")
@@ -168,9 +203,10 @@ def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Classes come from the canonical form; the exact check compares look forms. Exact copies of one text are collapsed
     before texts are paired, and a text's copies are spread over ``buckets`` when pairs are written out as documents, so
-    a text that makes up a third of all rows does not end in one task.
+    a text that makes up a third of all rows does not end in one task. The keys are written to the checkpoint folder, so
+    that texts are read and mapped once.
     """
-    keys = canonical_keys(df, id_col, text_col).select("id", "canonical_key", "look_key", "raw_key").distinct()
+    keys = cut(canonical_keys(df, id_col, text_col).select("id", "canonical_key", "look_key", "raw_key"))
     texts = keys.groupBy("canonical_key", "look_key", "raw_key").agg(F.lit(1).alias("one"))
     several = texts.groupBy("canonical_key", "look_key").agg(F.count("*").alias("texts")).where("texts > 1").select("canonical_key", "look_key")
     members = keys.join(several, ["canonical_key", "look_key"], "left_semi")
