@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DECISION = "struct<error:string,plan:string,action_name:string,arguments:string,result:string>"
+DECISION = T.StructType([T.StructField(n, T.StringType()) for n in ("error", "plan", "action_name", "arguments", "result")])
 
 
 def canonical(value) -> str:
@@ -60,7 +61,7 @@ def decision(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([parse_decision(t) for t in s], columns=["error", "plan", "action_name", "arguments", "result"], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(s: pd.Series) -> pd.Series:
     """Canonical form of JSON texts, null where they do not parse."""
 

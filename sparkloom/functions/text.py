@@ -64,12 +64,21 @@ def masked_tokens(text: Column | str) -> Column:
     return F.transform(tokens(text), lambda t: F.when(t.rlike(r"^\p{Nd}+\z"), F.lit(NUMBER_MARK)).otherwise(t))
 
 
+def let(value: Column | str, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it inside further lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def token_shingles(words: Column, size: int = 5, most: int = 20_000) -> Column:
     """Runs of ``size`` tokens, joined by NUL; the last ones are shorter. Beyond ``most`` tokens, evenly spaced starts."""
-    n = F.size(words)
-    stride = F.greatest(F.lit(1), F.floor(n / most)).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(1), n, stride)).otherwise(F.array().cast("array<int>"))
-    return F.slice(F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), "\x00")), 1, most)
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        stride = F.greatest(F.lit(1), F.floor(n / most)).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, stride)).otherwise(F.array().cast("array<int>"))
+        return F.slice(F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), "\x00")), 1, most)
+
+    return let(words, runs)
 
 
 def redact(text: Column | str, mark: str = "<REDACTED>", most: int = 50_000) -> Column:

@@ -80,11 +80,11 @@ def normalize_files(files: DataFrame, policy: CorpusPolicy) -> DataFrame:
         ).alias("_why"),
         raw.alias("_raw"),
     )
-    trimmed = readable.select("source_id", "path", "_why", F.when(F.col("_why").isNull(), tx.strip(tx.unix_lines(F.col("_raw").cast("string")))).alias("_text"))
-    sensitive = F.concat(F.lit("sensitive:"), tx.sensitive_reason("_text")) if policy.reject_sensitive_content else F.lit(None).cast("string")
-    reason = F.coalesce("_why", F.when(F.length("_text") < policy.min_file_chars, "file_too_short"), sensitive)
-    out = trimmed.withColumn("reason", reason)
-    return out.select("source_id", "path", "reason", F.when(F.col("reason").isNull(), F.concat("_text", F.lit("\n"))).alias("text"))
+    text = F.when(F.col("_why").isNull(), tx.strip(tx.unix_lines(F.col("_raw").cast("string"))))
+    sensitive = (lambda t: F.concat(F.lit("sensitive:"), tx.sensitive_reason(t))) if policy.reject_sensitive_content else (lambda t: F.lit(None).cast("string"))
+    verdict = tx.let(text, lambda t: F.struct(F.coalesce(F.col("_why"), F.when(F.length(t) < policy.min_file_chars, "file_too_short"), sensitive(t)).alias("reason"), t.alias("text")))
+    out = readable.select("source_id", "path", verdict.alias("_v"))
+    return out.select("source_id", "path", "_v.reason", F.when(F.col("_v.reason").isNull(), F.concat("_v.text", F.lit("\n"))).alias("text"))
 
 
 def order_key() -> Column:
