@@ -45,7 +45,6 @@ LOOKALIKES = {
     # hyphens
     "‐": "-", "‑": "-", "˗": "-",
 }
-LINE_ENDS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
 
 
 @lru_cache(maxsize=1)

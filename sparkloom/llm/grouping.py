@@ -144,7 +144,7 @@ def min_cost_flow(bundles: list[Bundle], quotas: np.ndarray, move_cost: float =
         if b.label >= 0:
             flow[i, b.label] = mass[i]
         else:
-            flow[i] = mass[i] * quotas / quotas.sum()
+            flow[i] = mass[i] * quotas / max(quotas.sum(), 1e-9)
     eps = 1e-9 * max(1.0, mass.sum())
     for _ in range(8 * k * k * (len(bundles) + 1)):
         over = flow.sum(0) - quotas
@@ -187,7 +187,7 @@ def min_cost_flow(bundles: list[Bundle], quotas: np.ndarray, move_cost: float =
 
 def round_whole(bundles: list[Bundle], flow: np.ndarray, quotas: np.ndarray) -> np.ndarray:
     """Whole components of each bundle for each split: floors first, then what is left over, largest components first,
-    each to the split of its flow that is furthest below its quota."""
+    each to the split that is furthest below its quota."""
     counts = np.zeros(flow.shape, int)
     for i, b in enumerate(bundles):
         if b.size:
@@ -198,9 +198,8 @@ def round_whole(bundles: list[Bundle], flow: np.ndarray, quotas: np.ndarray) ->
     for i in sorted(range(len(bundles)), key=lambda i: -bundles[i].size):
         b = bundles[i]
         for _ in range(b.count - int(counts[i].sum())):
-            lack = quotas - filled
-            stays = np.array([1e-6 * (s == b.label) + 1e-9 * (flow[i, s] > 0) for s in range(len(quotas))])
-            s = int((lack / np.maximum(quotas, 1e-9) * 0 + lack + stays * quotas.sum()).argmax())
+            # the emptiest split; of equals the present one, then one of the flow's
+            s = max(range(len(quotas)), key=lambda t: (quotas[t] - filled[t], t == b.label, flow[i, t]))
             counts[i, s] += 1
             filled[s] += b.size
     return counts
