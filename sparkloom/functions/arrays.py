@@ -56,3 +56,14 @@ def cross_entropy(logits: Column | str, label: Column) -> Column:
 
 def dot(a: Column | str, b: Column | str) -> Column:
     return _sum(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
+
+
+def causal_attention(queries: Column, keys: Column, values: Column) -> Column:
+    """Attention of one head over a sequence (arrays of vectors): each place sees itself and those before it."""
+    weighted = lambda w, vs, d: _sum(F.zip_with(w, vs, lambda a, v: a * F.get(v, d).cast("double")))
+
+    def place(q: Column, i: Column, ks: Column, vs: Column) -> Column:
+        scores = F.transform(F.slice(ks, F.lit(1), i + 1), lambda k: dot(q, k) / F.sqrt(F.size(q)))
+        return let(softmax(scores), lambda w: F.transform(F.sequence(F.lit(0), F.size(F.get(vs, F.lit(0))) - 1), lambda d: weighted(w, F.slice(vs, F.lit(1), i + 1), d)))
+
+    return F.transform(queries, lambda q, i: place(q, i, keys, values))

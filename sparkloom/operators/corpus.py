@@ -222,3 +222,16 @@ def manifest(audit: DataFrame, locked: DataFrame, policy: CorpusPolicy) -> DataF
     lock = locked.agg(F.array_sort(F.collect_list(F.struct("source_id", *names))).alias("sources"))
     one = counts.select(F.struct("accepted", "rejected", "train", "validation").alias("counts"))
     return one.crossJoin(reasons).crossJoin(lock).select(F.lit(1).alias("format_version"), F.lit(policy.digest()).alias("policy_sha256"), "counts", "rejection_reasons", "sources")  # one row each
+
+
+def folded_digest(df: DataFrame, by: str, order: str, content: str, most: int = 1_000_000) -> DataFrame:
+    """(by, digest): one digest over the group's ordered members, each as its key, NUL and the digest of its content (or a mark
+    where that is larger than ``most``). Only 64 characters a member are put together, whatever the contents' size."""
+    part = F.when(F.octet_length(content) > most, F.concat(F.lit("oversize:"), F.octet_length(content).cast("string"))).otherwise(F.sha2(content, 256))
+    each = df.select(by, F.struct(F.col(order).alias("k"), F.concat(F.col(order), F.lit("\x00"), F.coalesce(part, F.lit(""))).alias("p")).alias("m"))
+    return each.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["p"]), "\n"), 256).alias("digest"))
+
+
+def split_overlap(assigned: DataFrame, key: str, split: str = "split") -> DataFrame:
+    """Keys that are in more than one split; none if the splits are disjoint."""
+    return assigned.groupBy(key).agg(F.min(split).alias("first_split"), F.max(split).alias("last_split")).where("first_split <> last_split")

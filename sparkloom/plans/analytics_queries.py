@@ -10,14 +10,14 @@ from sparkloom.functions import arrays
 from sparkloom.functions import text as tx
 from sparkloom.operators import packing, scoring
 from sparkloom.operators.lineage import cut
-from sparkloom.plans.tables import table
+from sparkloom.plans.tables import table, texts
 
 SHARD = 4096
 
 
 def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as streams of tokens (here: lengths of lexical tokens), numbers outside the mask."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tx.tokens("text").alias("w"))
+    d = texts(spark, sf_dir).select("doc_id", tx.tokens("text").alias("w"))
     return d.select("doc_id", F.transform("w", lambda t: F.length(t)).alias("tokens"), F.transform("w", lambda t: F.when(t.rlike(r"^\p{Nd}+\z"), 0).otherwise(1)).alias("mask"))
 
 
@@ -66,7 +66,7 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document by a public tokenizer file."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    d = texts(spark, sf_dir)
     return packing.encode_with(d, "/opt/tokenizers/byte_bpe_50k.json").select("doc_id", F.size("tokens").cast("bigint").alias("tokens"))
 
 

@@ -10,7 +10,7 @@ from sparkloom.functions import text as tx
 from sparkloom.operators import corpus, workspace
 from sparkloom.operators.lineage import cut
 from sparkloom.operators.policy import CorpusPolicy
-from sparkloom.plans.tables import files, table
+from sparkloom.plans.tables import files, spread, table, texts
 
 POLICY = CorpusPolicy()
 RATIO = CorpusPolicy(validation_fraction=0.1)
@@ -37,7 +37,7 @@ def normalized_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.strip(tx.unix_lines("text")).alias("t"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.strip(tx.unix_lines("text")).alias("t"))
     return d.select("doc_id", F.length("t").cast("bigint").alias("chars"), tx.content_sha256(F.concat("t", F.lit("\n"))).alias("sha256"), F.coalesce(F.when(F.length("t") < 32, "file_too_short"), F.concat(F.lit("sensitive:"), tx.sensitive_reason("t"))).alias("reason"))
 
 
@@ -67,30 +67,30 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tx.content_sha256(tx.strip(tx.unix_lines("text"))).alias("sha256"))
+    d = texts(spark, sf_dir).select("doc_id", tx.content_sha256(tx.strip(tx.unix_lines("text"))).alias("sha256"))
     first = d.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     return d.join(first.where("copies > 1"), "sha256").select("doc_id", "first_id", "copies", (F.col("doc_id") == F.col("first_id")).alias("kept"))
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = texts(spark, sf_dir)
     words = tx.masked_tokens("text")
     return d.select("doc_id", F.size(words).cast("bigint").alias("tokens"), F.size(F.filter(words, lambda t: t == tx.NUMBER_MARK)).cast("bigint").alias("numbers"), F.sha2(F.array_join(words, "\x00"), 256).alias("tokens_sha256"))
 
 
 def top_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shingles that most documents hold."""
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = texts(spark, sf_dir)
     each = d.select("doc_id", F.explode(F.array_distinct(tx.token_shingles(tx.masked_tokens("text"), most=1 << 30))).alias("s"))
     return each.groupBy("s").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "s").limit(50).select(F.replace("s", F.lit("\x00"), F.lit(" ")).alias("shingle"), "documents")
 
 
 def simhash_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.simhash_native(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    return fingerprints.simhash_native(texts(spark, sf_dir), "doc_id", "text")
 
 
 def simhash_blake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", fingerprints.simhash("text").alias("simhash"))
+    return texts(spark, sf_dir).select("doc_id", fingerprints.simhash("text").alias("simhash"))
 
 
 def simhash_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that it duplicates, in order of doc_id."""
-    prints = cut(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", fingerprints.simhash("text").alias("simhash")))
+    prints = cut(texts(spark, sf_dir).select("doc_id", fingerprints.simhash("text").alias("simhash")))
     heads = prints.groupBy("simhash").agg(F.min("doc_id").alias("rank"))
     gone = corpus.greedy_keep(heads, corpus.near_pairs(heads.select("simhash"), 3))
     keeper = gone.join(heads.withColumnsRenamed({"simhash": "keeper", "rank": "of"}), "keeper").select("simhash", "of")
@@ -119,7 +119,7 @@ def near_duplicate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = texts(spark, sf_dir)
     return workspace.search(d, "doc_id", "text", r"(?:ERROR|FAILED) [a-z]+_[a-z]+", regex=True).select("doc_id", F.col("line").cast("bigint").alias("line"), "text")
 
 
@@ -129,13 +129,13 @@ def children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", tx.unix_lines("text").alias("text"))
+    d = texts(spark, sf_dir).select("doc_id", tx.unix_lines("text").alias("text"))
     out = workspace.line_slice(d, "text", 2, 4)
     return out.select("doc_id", F.col("line_count").cast("bigint").alias("line_count"), F.col("end_line").cast("bigint").alias("end_line"), F.sha2("slice", 256).alias("slice_sha256"), "sha256")
 
 
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    d = texts(spark, sf_dir)
     return d.select("doc_id", F.sha2(tx.redact_address(tx.redact("text")), 256).alias("redacted_sha256"))
 
 
@@ -147,12 +147,23 @@ def license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(s, "source_id").join(f, ["source_id", "license_file"], "left").select("source_id", "license_file", F.col("now").eqNullSafe(F.col("license_sha256")).alias("unchanged"))
 
 
+def source_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest over all regular files of each source."""
+    return corpus.folded_digest(files(spark, sf_dir).where("is_regular AND content IS NOT NULL"), "source_id", "path", "content", 8000)
+
+
+def split_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners whose sources are in more than one split."""
+    r = table(spark, sf_dir, "resolved_sources").select(F.lower(F.substring_index("source_id", "/", 1)).alias("owner"), F.nullif(F.lower(F.trim("split")), F.lit("")).alias("split"))
+    return corpus.split_overlap(r.where("split IS NOT NULL"), "owner")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         source_admission, source_split, path_filter, normalized_files, normalized_documents, rejection_histogram, corpus_decisions, corpus_audit,
         corpus_records, corpus_manifest, exact_duplicates, token_counts, top_shingles, simhash_native, simhash_blake, simhash_bands, near_duplicate_pairs,
-        near_duplicate_greedy, line_search, children, line_slices, redacted_documents, license_digests,
+        near_duplicate_greedy, line_search, children, line_slices, redacted_documents, license_digests, source_digests, split_overlaps,
     )
 }
 
@@ -261,6 +272,10 @@ SELECT doc_id, len(l)::BIGINT AS line_count, least(len(l), 4)::BIGINT AS end_lin
     + "text[1:50000]"
     + "".join(f", '{p}', '<REDACTED>', 'g')" for p in tx.RECORDED_SECRETS)
     + r", '(https?://)[^/@\s]+@', '\1<REDACTED>@', 'g')) AS redacted_sha256 FROM documents WHERE text IS NOT NULL",
+    "source_digests": f"""WITH f AS ({_FILES}), e AS (SELECT source_id, path, path || chr(0) || CASE WHEN octet_length(content) > 8000 THEN 'oversize:' || octet_length(content) ELSE sha256(content) END AS p FROM f WHERE is_regular AND content IS NOT NULL)
+SELECT source_id, sha256(string_agg(p, chr(10) ORDER BY path)) AS digest FROM e GROUP BY source_id""",
+    "split_overlaps": """WITH r AS (SELECT lower(string_split(source_id, '/')[1]) AS owner, nullif(lower(trim(split)), '') AS split FROM resolved_sources)
+SELECT owner, min(split) AS first_split, max(split) AS last_split FROM r GROUP BY owner HAVING min(split) <> max(split)""",
     "license_digests": """WITH r AS (SELECT DISTINCT source_id, license_sha256 FROM resolved_sources WHERE license_sha256 IS NOT NULL), s AS (SELECT DISTINCT source_id, license_file FROM sources),
 f AS (SELECT DISTINCT source_id, path AS license_file, sha256(content) AS now FROM tracked_files WHERE is_regular)
 SELECT r.source_id, s.license_file, coalesce(now = license_sha256, false) AS unchanged FROM r JOIN s USING (source_id) LEFT JOIN f ON f.source_id = s.source_id AND f.license_file = s.license_file""",

@@ -19,3 +19,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each trajectory."""
     return table(spark, sf_dir, "trajectories").select("traj_id", "source_id", "messages", "metadata").dropDuplicates(["traj_id"])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer tasks than there are (a file that cannot be split starves them)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a text."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL"))

@@ -130,3 +130,13 @@ def test_workspace(spark):
     old = hashlib.sha256(b"old").hexdigest()
     w = spark.createDataFrame([("p", b"new", old), ("p", b"new", "stale"), ("q", b"new", None)], "path STRING, content BINARY, expected_sha256 STRING")
     assert sorted((r.path, r.ok, r.sha256 == hashlib.sha256(b"new").hexdigest()) for r in workspace.compare_and_set(now, w).collect()) == [("p", False, False), ("p", True, True), ("q", True, True)]
+
+
+def test_causal_attention_equals_numpy(spark):
+    rng = np.random.default_rng(3)
+    q, k, v = rng.normal(size=(3, 4, 6))
+    df = spark.createDataFrame([tuple([list(map(float, r)) for r in m] for m in (q, k, v))], "q ARRAY<ARRAY<DOUBLE>>, k ARRAY<ARRAY<DOUBLE>>, v ARRAY<ARRAY<DOUBLE>>")
+    got = np.array(df.select(arrays.causal_attention(F.col("q"), F.col("k"), F.col("v")).alias("a")).first().a)
+    s = np.where(np.tril(np.ones((4, 4))) > 0, q @ k.T / np.sqrt(6), -np.inf)
+    w = np.exp(s - s.max(1, keepdims=True))
+    assert np.allclose(got, w / w.sum(1, keepdims=True) @ v)

@@ -88,3 +88,44 @@ def test_windowed_stream_equals_batch(spark, tmp_path):
 
     want = {(r.w.start, r.event_type): (r.n, r.v) for r in df.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v")).collect()}
     assert got == want
+
+
+def test_shards_on_disk(spark, tmp_path):
+    from sparkloom.sources import shards
+
+    packed = spark.createDataFrame([(0, [1, 65535, 3], [0, 1, 1]), (1, [7], [1])], "shard INT, tokens ARRAY<INT>, mask ARRAY<INT>")
+    listed = shards.write_shards(packed, f"{tmp_path}/s")
+    assert sorted(tuple(r) for r in listed.collect()) == [(0, 3, 2), (1, 1, 1)]
+    assert sorted(tuple(r) for r in shards.read_shards(spark, f"{tmp_path}/s").collect()) == [(0, [1, 65535, 3], [0, 1, 1]), (1, [7], [1])]
+    assert json.loads(shards.metadata(listed, 100))["tokens"] == 4
+    with pytest.raises(ValueError):
+        shards.metadata(listed, 65_537)
+    raw = {r.shard: bytes(r.tokens) for r in spark.read.parquet(f"{tmp_path}/s").collect()}
+    assert raw[0] == b"\x01\x00\xff\xff\x03\x00"
+
+
+def test_configuration(tmp_path):
+    from sparkloom.sources import config
+
+    (tmp_path / "p.json").write_text('{"split_salt": "s", "allowed_licenses": ["MIT"]}')
+    assert config.load_policy(str(tmp_path / "p.json")).allowed_licenses == ("MIT",)
+    for bad in ({"num_key_value_heads": 5}, {"vocab_size": 100_000}, {"hidden_size": 770}):
+        with pytest.raises(ValueError):
+            config.DecoderShape(**bad)
+    assert config.Schedule().tokens_per_step == 65_536 and config.Schedule().consumed(3) == 96
+    with pytest.raises(ValueError):
+        config.Schedule(warmup_steps=50_000)
+
+
+def test_synthetic_conversations(spark):
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import trajectories as tr
+    from sparkloom.sources import synthetic
+
+    d = synthetic.dataset(spark, {"train": 4, "validation": 2, "eval": 1}).cache()
+    assert d.count() == 70 and d.select("split", "index").distinct().groupBy("index").count().where("count > 1").isEmpty()
+    assert d.select(tr.canonicalize("messages").alias("c"), tr.observation_errors(F.col("messages")).alias("e")).where("c.error IS NOT NULL OR e IS NOT NULL").isEmpty()
+    case = tr.with_case(d, F.col("selector"))
+    assert case.where("target.role <> 'assistant' OR ordinal >= assistant_count").isEmpty() and case.count() == 70
+    assert sorted(map(str, d.collect())) == sorted(map(str, synthetic.dataset(spark, {"train": 4, "validation": 2, "eval": 1}).collect()))
