@@ -36,4 +36,15 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_splits": p2_splits, "p2_shares": p2_shares}
-SQL: dict[str, str] = {}
+SQL = {
+    "p2_found": r"""WITH RECURSIVE ids AS (SELECT source_id FROM sources UNION SELECT source_id FROM contributors UNION SELECT source_id FROM resolved_sources),
+u AS (SELECT source_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(source_url)), '^[a-z][a-z0-9+.-]*://', ''), '^[^/@]*@', ''), '^([^/:]+):\d+(/|$)', '\1\2'), '^([^/:]+):', '\1/') AS u FROM sources),
+k AS (SELECT source_id, 'o:' || lower(string_split(source_id, '/')[1]) AS k FROM ids WHERE source_id IS NOT NULL UNION SELECT source_id, 'r:' || regexp_replace(u, '(/|\.git)+$', '') FROM u WHERE u <> ''
+  UNION SELECT source_id, 'a:' || lower(regexp_extract(author, '[^\s<>"(),;:]+@[^\s<>"(),;:]+')) FROM contributors WHERE regexp_matches(author, '[^\s<>"(),;:]+@[^\s<>"(),;:]+')),
+e AS (SELECT DISTINCT a.source_id AS a, b.source_id AS b FROM k a JOIN k b USING (k)),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+g AS (SELECT b AS source_id, min(a) AS group_head FROM reach GROUP BY b),
+s AS (SELECT DISTINCT source_id, lower(trim(split)) AS split FROM resolved_sources WHERE trim(split) <> ''),
+torn AS (SELECT group_head FROM g JOIN s USING (source_id) GROUP BY group_head HAVING count(DISTINCT split) > 1)
+SELECT group_head, source_id FROM g WHERE group_head IN (SELECT group_head FROM torn)""",
+}

@@ -53,10 +53,10 @@ HINT = re.compile(
     re.I,
 )
 
-_LITERAL = r"[bBrRfFuU]{0,2}(?P<q>\"\"\"|'''|[\"'`])(?P<lit>.*?)(?P=q)(?P<more>(?:\s*[+.]?\s*[\"'`][^\"'`]*[\"'`])*)"
+_LITERAL = r"(?:[bBrRfFuU]{1,2}\s{0,3})?(?P<q>\"\"\"|'''|[\"'`])(?P<lit>.*?)(?P=q)(?P<more>(?:\s*[+.]?\s*[\"'`][^\"'`]*[\"'`])*)"
 _BARE = r"(?:(?:bearer|basic|token|apikey|digest)\s+)?[^\s\"'`,;(){}\[\]<>]*[^\s\"'`,;(){}\[\]<>.:]"
 PAIR = re.compile(
-    r"(?<![\w$.-])(?P<name>[A-Za-z_][\w-]*)(?P<close>(?:\s{0,3}[\"'`])?\s*\]?)\s*(?P<sep>:=|=>|=(?![=~>])|:(?![:/])|,(?=\s*[bBrRfFuU]{0,2}[\"'`]))\s*(?:(?:new\s+)?[A-Za-z_.]*(?:str|String|bytes|from)\()?"
+    r"(?<![\w$.-])(?P<name>[A-Za-z_][\w-]*)(?P<close>(?:\s{0,3}[\"'`])?\s*\]?)\s*(?P<sep>:=|=>|=(?![=~>])|:(?![:/])|,(?=\s*[bBrRfFuU]{0,2}\s{0,3}[\"'`]))\s*(?:(?:new\s+)?[A-Za-z_.]*(?:str|String|bytes|from)\()?"
     rf"(?:{_LITERAL}|(?P<bare>{_BARE}))",
     re.I,
 )

@@ -54,7 +54,7 @@ def test_private_keys_count_at_their_mark():
 
 
 def test_json_stays_json():
-    code = f'a = 1\npassword = "{PW}"\nx = {{"api_key": "{GH}"}}\nvar secret = "ab12cd34" + "ef56gh78";\n{KEY}\n'
+    code = f'pwd = b"{PW}"\ntoken = b"{PW}"\npassword = "{PW}"\nx = {{"api_key": "{GH}"}}\nvar secret = "ab12cd34" + "ef56gh78";\n{KEY}\n'
     for value in ({"ok": True, "output": {"content": code}}, {"output": json.dumps({"inner": code})}):
         text = json.dumps(value)
         spans = S.secret_spans(text)
