@@ -18,20 +18,41 @@ from sparkloom.operators.lineage import cut
 from sparkloom.operators.policy import CorpusPolicy
 
 
+#: Up to so many keys are sent to the executors; beyond, they are joined by shuffle.
+BROADCAST_KEYS = 500_000
+
+
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """One row for each key: the one with the largest ``by`` (map-side combined, no window)."""
+    """One row for each key: the one with the largest ``by`` (map-side combined, no window). For narrow rows."""
     rest = [c for c in df.columns if c not in keys]
     row = F.max_by(F.struct(*rest), F.struct(F.col(by), *[F.col(c).cast("string") for c in rest if c != by]))
     return df.groupBy(*keys).agg(row.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, marked to be sent to the executors if it is counted to be small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def latest_wide(df: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """As ``latest``, for rows with contents: only those of repeated keys are moved, all others stay in their tasks."""
+    repeated = df.select(*keys).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
+    known = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    few = sized(repeated)
+    rest = [c for c in df.columns if c not in keys]
+    several = known.join(few, keys, "left_semi").groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(by)).alias("_m"), F.first(F.struct(*rest)).alias("_f"))
+    one = several.select(*keys, F.coalesce("_m", "_f").alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return known.join(few, keys, "left_anti").select(*keys, *rest).union(one)
+
+
 def admit_sources(sources: DataFrame, files: DataFrame, policy: CorpusPolicy) -> DataFrame:
     """Sources with ``reason``: the first rule that a source breaks, null if it is admitted.
 
-    The license file must be one of the source's regular files; that is a join on the (small) source side.
+    The license file must be one of the source's regular files: files are narrowed to the named ones before anything moves.
     """
     one = latest(sources.where("source_id IS NOT NULL"), ["source_id"], "listed_at")
-    held = files.where("is_regular").select("source_id", F.col("path").alias("license_file")).distinct().withColumn("license_tracked", F.lit(True))
+    named = sized(one.where("license_file IS NOT NULL").select("source_id", F.col("license_file").alias("path")))
+    held = files.where("is_regular").select("source_id", "path").join(named, ["source_id", "path"], "left_semi").select("source_id", F.col("path").alias("license_file")).distinct().withColumn("license_tracked", F.lit(True))
     joined = one.join(held, ["source_id", "license_file"], "left")
     reason = F.coalesce(
         F.when(tx.strip("source_id") == "", "no source id"),
@@ -154,10 +175,13 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> D
     return found.groupBy(F.col("second").alias("simhash")).agg(F.min_by("first", "rank").alias("keeper"))
 
 
-def decide(accepted: DataFrame, policy: CorpusPolicy, near: bool = True) -> DataFrame:
-    """(source_id, path, sha256, duplicate_of) of the files with a text; duplicate_of is null for those that are kept."""
-    rows = accepted.select("source_id", "path", tx.content_sha256("text").alias("sha256"), *([fingerprints.simhash("text").alias("simhash")] if near else []))
-    rows = cut(rows)
+def fingerprint_files(texts: DataFrame, near: bool = True) -> DataFrame:
+    """(source_id, path, reason, sha256, simhash) of normalized files: all that later steps need of their texts."""
+    return texts.select("source_id", "path", "reason", tx.content_sha256("text").alias("sha256"), (fingerprints.simhash("text") if near else F.lit(None).cast("bigint")).alias("simhash"))
+
+
+def decide(rows: DataFrame, policy: CorpusPolicy, near: bool = True) -> DataFrame:
+    """(source_id, path, sha256, duplicate_of) of fingerprinted files without a reason; duplicate_of is null for those kept."""
     first = F.min(F.struct("source_id", paths.parts("path").alias("parts"), "path"))
     identity = lambda c: F.concat(F.col(f"{c}.source_id"), F.lit(":"), F.col(f"{c}.path"))
     exact = rows.groupBy("sha256").agg(first.alias("f"))
@@ -180,33 +204,37 @@ def build(sources: DataFrame, files: DataFrame, policy: CorpusPolicy | None = No
     """Frames ``records``, ``audit`` and ``manifest`` of a build over the admitted sources.
 
     Sources that are not admitted are left out (see ``admit_sources`` for why); every file of the others has one audit row.
+    Contents are read and normalized once for their fingerprints, which is all that is shuffled or kept, and once more when
+    the records are asked for.
     """
     policy = policy or CorpusPolicy()
     admitted = cut(admit_sources(sources, files, policy).where("reason IS NULL").drop("reason"))
     splits = split_sources(admitted, policy)
-    mine = latest(files.join(F.broadcast(splits.select("source_id")) if admitted.count() <= 200_000 else splits.select("source_id"), "source_id", "left_semi"), ["source_id", "path"], "scanned_at")
-    texts = cut(normalize_files(mine, policy))
-    decided = decide(texts.where("reason IS NULL"), policy, near)
-    audit = (
-        texts.select("source_id", "path", "reason")
+    mine = latest_wide(files.join(sized(splits.select("source_id")), "source_id", "left_semi"), ["source_id", "path"], "scanned_at")
+    texts = normalize_files(mine, policy)
+    prints = cut(fingerprint_files(texts, near))
+    decided = decide(prints.where("reason IS NULL").drop("reason"), policy, near)
+    accepted = F.coalesce("reason", "duplicate_of").isNull()
+    audit = cut(
+        prints.select("source_id", "path", "reason")
         .join(decided, ["source_id", "path"], "left")
         .join(splits, "source_id")
         .select(
             "source_id",
             "path",
-            F.when(F.coalesce("reason", "duplicate_of").isNull(), "accepted").otherwise("rejected").alias("decision"),
+            F.when(accepted, "accepted").otherwise("rejected").alias("decision"),
             F.coalesce("reason", F.when(F.col("duplicate_of").isNotNull(), "duplicate")).alias("reason"),
             "duplicate_of",
-            F.when(F.coalesce("reason", "duplicate_of").isNull(), F.col("sha256")).alias("sha256"),
-            F.when(F.coalesce("reason", "duplicate_of").isNull(), F.col("split")).alias("split"),
+            F.when(accepted, F.col("sha256")).alias("sha256"),
+            F.when(accepted, F.col("split")).alias("split"),
         )
     )
-    audit = cut(audit)
-    licenses = files.where("is_regular").select("source_id", F.col("path").alias("license_file"), F.sha2("content", 256).alias("license_sha256")).distinct()
-    locked = admitted.join(splits, "source_id").join(licenses, ["source_id", "license_file"])
+    licenses = files.where("is_regular").join(sized(admitted.select("source_id", F.col("license_file").alias("path"))), ["source_id", "path"]).select("source_id", F.col("path").alias("license_file"), F.sha2("content", 256).alias("license_sha256")).distinct()
+    locked = cut(admitted.join(splits, "source_id").join(licenses, ["source_id", "license_file"]))
     metadata = F.struct("license_file", "license_sha256", "license_spdx", "path", "revision", "sha256", "source_id", "source_url", "split")
     kept = audit.where("decision = 'accepted'").select("source_id", "path", "sha256")
-    records = texts.select("source_id", "path", "text").join(kept, ["source_id", "path"]).join(locked.select("source_id", "license_file", "license_sha256", "license_spdx", "revision", "source_url", "split"), "source_id").select("text", metadata.alias("metadata"))
+    named = kept.join(locked.select("source_id", "license_file", "license_sha256", "license_spdx", "revision", "source_url", "split"), "source_id")
+    records = texts.where("reason IS NULL").select("source_id", "path", "text").join(sized(named), ["source_id", "path"]).select("text", metadata.alias("metadata"))
     return {"records": records, "audit": audit, "manifest": manifest(audit, locked, policy)}
 
 

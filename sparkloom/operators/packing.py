@@ -6,6 +6,7 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -15,19 +16,20 @@ IGNORE = -100
 
 
 def with_offsets(rows: DataFrame, order: str, size: str, parts: int | None = None) -> DataFrame:
-    """``rows`` with ``start``: sum of ``size`` over all rows before, by the integer column ``order``.
+    """``rows`` with ``start``: sum of ``size`` over all rows before, by the numeric column ``order``.
 
-    Two levels instead of one window over everything: rows are range-partitioned by ``order`` into chunks, each chunk is
-    summed on its own, and the chunks' totals (a few rows) are summed and joined back.
+    Two levels instead of one window over everything: rows are cut into chunks of about equal numbers at quantiles of
+    ``order``, each chunk is summed on its own, and the chunks' totals (a few rows) are summed and joined back.
     """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // n))
-    cut = rows.withColumn("_chunk", ((F.col(order) - F.lit(low or 0)) / F.lit(width)).cast("bigint"))
+    place = rows.select(F.col(order).cast("double").alias("_p"))
+    marks = sorted(set(place.approxQuantile("_p", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    bucketizer = Bucketizer(splits=[float("-inf"), *marks, float("inf")] if marks else [float("-inf"), 0.0, float("inf")], inputCol="_p", outputCol="_chunk", handleInvalid="keep")
+    cut = bucketizer.transform(rows.withColumn("_p", F.col(order).cast("double")))
     totals = cut.groupBy("_chunk").agg(F.sum(size).alias("_n"))
-    before = totals.withColumn("_before", F.sum("_n").over(Window.orderBy("_chunk")) - F.col("_n")).select("_chunk", "_before")  # at most n + 1 rows
+    before = totals.withColumn("_before", F.sum("_n").over(Window.orderBy("_chunk")) - F.col("_n")).select("_chunk", "_before")  # at most n rows
     inner = F.sum(size).over(Window.partitionBy("_chunk").orderBy(order)) - F.col(size)
-    return cut.withColumn("_inner", inner).join(F.broadcast(before), "_chunk").withColumn("start", (F.col("_before") + F.col("_inner")).cast("bigint")).drop("_chunk", "_inner", "_before")
+    return cut.withColumn("_inner", inner).join(F.broadcast(before), "_chunk").withColumn("start", (F.col("_before") + F.col("_inner")).cast("bigint")).drop("_chunk", "_inner", "_before", "_p")
 
 
 def shard_slices(rows: DataFrame, order: str, size: str, shard_tokens: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.operators.corpus import latest
+from sparkloom.operators.corpus import latest_wide
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,12 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last scan of every tracked file."""
-    return latest(table(spark, sf_dir, "tracked_files"), ["source_id", "path"], "scanned_at")
+    return latest_wide(table(spark, sf_dir, "tracked_files"), ["source_id", "path"], "scanned_at")
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each trajectory."""
-    return table(spark, sf_dir, "trajectories").select("traj_id", "source_id", "messages", "metadata").dropDuplicates(["traj_id"])
+    return latest_wide(table(spark, sf_dir, "trajectories"), ["traj_id"], "recorded_at").select("traj_id", "source_id", "messages", "metadata")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -174,7 +174,8 @@ def test_near_duplicates_in_a_build_follow_path_order(spark):
     base = " ".join(f"word{i}" for i in range(400))
     rows = [("a-b/c.py", base + " tail one"), ("a/b.py", base + " tail two"), ("z.py", "completely different text " * 20)]
     df = spark.createDataFrame([("s", p, t) for p, t in rows], "source_id STRING, path STRING, text STRING")
-    near = {r.path: r.duplicate_of for r in corpus.decide(df, CorpusPolicy(), True).collect()}
+    prints = corpus.fingerprint_files(df.withColumn("reason", F.lit(None).cast("string")))
+    near = {r.path: r.duplicate_of for r in corpus.decide(prints, CorpusPolicy(), True).collect()}
     h = [fingerprints.simhash_of(t) for _, t in rows[:2]]
     close = ((h[0] ^ h[1]) & ((1 << 64) - 1)).bit_count() <= 3
     assert near["z.py"] is None and near["a/b.py"] is None
@@ -193,3 +194,13 @@ def test_empty_tables(spark):
     assert corpus.normalize_files(e, POLICY).count() == 0 and corpus.admit_sources(_sources(spark, []), e, POLICY).count() == 0
     with pytest.raises(ValueError):
         corpus.build(_sources(spark, []), e)
+
+
+def test_latest_rows(spark):
+    import datetime as dt
+
+    at = lambda d: None if d is None else dt.datetime(2024, 1, d)
+    rows = [("s", "a", b"1", True, at(1)), ("s", "a", b"2", True, at(2)), ("s", "b", b"3", True, None), ("s", "c", b"4", True, None), ("s", "c", b"4", True, None), ("s", "d", b"5", True, at(3)), ("s", "d", b"5", True, at(3)), (None, "x", b"6", True, None), ("s", "e", b"7", True, at(1)), ("s", "e", b"8", True, None)]
+    df = spark.createDataFrame(rows, FILES)
+    assert sorted((r.path, bytes(r.content)) for r in corpus.latest_wide(df, ["source_id", "path"], "scanned_at").collect()) == [("a", b"2"), ("b", b"3"), ("c", b"4"), ("d", b"5"), ("e", b"7")]
+    assert corpus.latest_wide(df.limit(0), ["source_id", "path"], "scanned_at").count() == 0
