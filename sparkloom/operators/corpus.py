@@ -36,9 +36,9 @@ def sized(df: DataFrame) -> DataFrame:
 
 def latest_wide(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """As ``latest``, for rows with contents: only those of repeated keys are moved, all others stay in their tasks."""
-    repeated = df.select(*keys).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
     known = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    few = sized(repeated)
+    repeated = known.select(*keys).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
+    few = sized(cut(repeated))
     rest = [c for c in df.columns if c not in keys]
     several = known.join(few, keys, "left_semi").groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(by)).alias("_m"), F.first(F.struct(*rest)).alias("_f"))
     one = several.select(*keys, F.coalesce("_m", "_f").alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])

@@ -47,22 +47,22 @@ def rejection_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted and rejected files by split and reason, without the near-duplicate step."""
-    audit = corpus.build(table(spark, sf_dir, "sources"), table(spark, sf_dir, "tracked_files"), RATIO, near=False)["audit"]
+    audit = corpus.build(table(spark, sf_dir, "sources"), spread(table(spark, sf_dir, "tracked_files")), RATIO, near=False)["audit"]
     return audit.groupBy("decision", "reason", "split").agg(F.count("*").alias("files"))
 
 
 def corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each file of the admitted sources, with near duplicates."""
-    return corpus.build(table(spark, sf_dir, "sources"), table(spark, sf_dir, "tracked_files"), RATIO)["audit"]
+    return corpus.build(table(spark, sf_dir, "sources"), spread(table(spark, sf_dir, "tracked_files")), RATIO)["audit"]
 
 
 def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = corpus.build(table(spark, sf_dir, "sources"), table(spark, sf_dir, "tracked_files"), RATIO)["records"]
+    r = corpus.build(table(spark, sf_dir, "sources"), spread(table(spark, sf_dir, "tracked_files")), RATIO)["records"]
     return r.select("metadata.source_id", "metadata.path", "metadata.split", "metadata.license_spdx", "metadata.sha256", F.length("text").cast("bigint").alias("chars"))
 
 
 def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = corpus.build(table(spark, sf_dir, "sources"), table(spark, sf_dir, "tracked_files"), RATIO)["manifest"]
+    m = corpus.build(table(spark, sf_dir, "sources"), spread(table(spark, sf_dir, "tracked_files")), RATIO)["manifest"]
     return m.select("format_version", "policy_sha256", "counts.accepted", "counts.rejected", "counts.train", "counts.validation", F.to_json("rejection_reasons").alias("rejection_reasons"), F.size("sources").alias("sources"))
 
 

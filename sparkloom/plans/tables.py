@@ -11,20 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer tasks than there are (a file that cannot be split starves them)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last scan of every tracked file."""
-    return latest_wide(table(spark, sf_dir, "tracked_files"), ["source_id", "path"], "scanned_at")
+    return latest_wide(spread(table(spark, sf_dir, "tracked_files")), ["source_id", "path"], "scanned_at")
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each trajectory."""
-    return latest_wide(table(spark, sf_dir, "trajectories"), ["traj_id"], "recorded_at").select("traj_id", "source_id", "messages", "metadata")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files give fewer tasks than there are (a file that cannot be split starves them)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return latest_wide(spread(table(spark, sf_dir, "trajectories")), ["traj_id"], "recorded_at").select("traj_id", "source_id", "messages", "metadata")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
