@@ -185,6 +185,16 @@ def min_cost_flow(bundles: list[Bundle], quotas: np.ndarray, move_cost: float =
     return flow
 
 
+def bundle_flow(bundles: list[Bundle], quotas: np.ndarray, move_cost: float = 1.0) -> np.ndarray:
+    """``min_cost_flow`` for any number of bundles: costs depend on the label only, so the bundles of a label flow as one
+    and share its flow by their mass, which also gives every split the same profile of sizes."""
+    labels = sorted({b.label for b in bundles})
+    mass = {x: sum(b.size * b.count for b in bundles if b.label == x) for x in labels}
+    merged = min_cost_flow([Bundle(1, x, mass[x]) for x in labels], quotas, move_cost)
+    part = {x: merged[i] / max(mass[x], 1) for i, x in enumerate(labels)}
+    return np.array([part[b.label] * b.size * b.count for b in bundles]).reshape(len(bundles), len(quotas))
+
+
 def round_whole(bundles: list[Bundle], flow: np.ndarray, quotas: np.ndarray) -> np.ndarray:
     """Whole components of each bundle for each split: floors first, then what is left over, largest components first,
     each to the split that is furthest below its quota."""
@@ -216,7 +226,7 @@ def allocate(components: DataFrame, shares: tuple[float, ...] = (0.8, 0.1, 0.1),
     rows = comps.groupBy("size", "label").agg(F.count("*").alias("n")).collect()
     bundles = sorted((Bundle(r["size"], r["label"], r["n"]) for r in rows), key=lambda b: (b.size, b.label))
     quotas = np.array(shares) / sum(shares) * sum(b.size * b.count for b in bundles)
-    counts = round_whole(bundles, min_cost_flow(bundles, quotas), quotas)
+    counts = round_whole(bundles, bundle_flow(bundles, quotas), quotas)
     ends = np.cumsum(counts, axis=1)
     plan = components.sparkSession.createDataFrame([(b.size, b.label, *map(int, e)) for b, e in zip(bundles, ends)], T.StructType([T.StructField("size", T.LongType()), T.StructField("label", T.IntegerType()), *(T.StructField(f"end_{s}", T.LongType()) for s in SPLITS)]))
     h = F.xxhash64("group_head", F.lit(seed))

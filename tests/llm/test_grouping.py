@@ -70,7 +70,12 @@ def test_flow_meets_quotas_at_least_cost(rows):
     bundles = [G.Bundle(*r) for r in rows]
     total = sum(b.size * b.count for b in bundles)
     quotas = np.array([0.8, 0.1, 0.1]) * total
-    flow = G.min_cost_flow(bundles, quotas)
+    for flow in (G.min_cost_flow(bundles, quotas), G.bundle_flow(bundles, quotas)):
+        check_flow(bundles, quotas, flow)
+
+
+def check_flow(bundles, quotas, flow):
+    total = sum(b.size * b.count for b in bundles)
     assert np.allclose(flow.sum(0), quotas, atol=1e-6 * total + 1e-6) and np.allclose(flow.sum(1), [b.size * b.count for b in bundles]) and (flow > -1e-6).all()
     moved = sum(flow[i].sum() - flow[i, b.label] for i, b in enumerate(bundles) if b.label >= 0)
     have = np.array([sum(b.size * b.count for b in bundles if b.label == s) for s in range(3)])
@@ -81,6 +86,17 @@ def test_flow_meets_quotas_at_least_cost(rows):
     assert (np.abs(filled - quotas) <= 2 * sum(b.size for b in bundles) + 1e-6).all()
 
 
+def test_many_bundles_are_allocated_quickly():
+    import time
+
+    bundles = [G.Bundle(s, label, 3) for s in range(1, 8000) for label in (-1, 0, 1, 2)]
+    quotas = np.array([0.8, 0.1, 0.1]) * sum(b.size * b.count for b in bundles)
+    begin = time.perf_counter()
+    counts = G.round_whole(bundles, G.bundle_flow(bundles, quotas), quotas)
+    filled = (counts * np.array([[b.size] for b in bundles])).sum(0)
+    assert np.abs(filled - quotas).max() <= 8000 and time.perf_counter() - begin < 20
+
+
 def test_splits_keep_groups_together_and_reach_the_shares(spark):
     rng = random.Random(8)
     sources = [(f"o{rng.randrange(250)}/r{i}", f"https://h/{i}") for i in range(500)]
