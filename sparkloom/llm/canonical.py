@@ -185,6 +185,13 @@ def canonical_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, schema)
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: str, spread_by: str, buckets: int = 32) -> DataFrame:
+    """Inner join on one column that may be hot in ``big``: its rows are spread over buckets by ``spread_by``, and the rows
+    of ``small`` are there in each."""
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(buckets)).cast("int"))
+    return left.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))), [on, "_salt"]).drop("_salt")
+
+
 def canonical_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document of a class with more than one stored text: id, class_id (smallest id of the class), texts, documents.
 
@@ -193,23 +200,26 @@ def canonical_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     keys = cut(canonical_keys(df, id_col, text_col).select("id", "canonical_key", "raw_key"))
     texts = keys.groupBy("canonical_key", "raw_key").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    classes = texts.groupBy("canonical_key").agg(F.min("id").alias("class_id"), F.count("*").alias("texts"), F.sum("n").alias("documents"))
-    return keys.join(classes.where("texts > 1"), "canonical_key").select("id", "class_id", "texts", "documents")
+    classes = texts.groupBy("canonical_key").agg(F.min("id").alias("class_id"), F.count("*").alias("texts"), F.sum("n").alias("documents")).where("texts > 1")
+    return salted_join(keys, classes, "canonical_key", "id").select("id", "class_id", "texts", "documents")
 
 
-def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 32) -> DataFrame:
+def lookalike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs (doc_a < doc_b) of documents whose texts look the same but are not stored with the same characters.
 
-    Classes come from the canonical form; the exact check compares look forms. Exact copies of one text are collapsed
-    before texts are paired, and a text's copies are spread over ``buckets`` when pairs are written out as documents, so
-    a text that makes up a third of all rows does not end in one task. The keys are written to the checkpoint folder, so
-    that texts are read and mapped once.
+    Classes come from the canonical form; the exact check compares look forms. Texts are paired first, each stored text
+    once; then the documents of the more frequent text of a pair, and of the other, are joined in with salted keys. So the
+    work follows the number of pairs, and copies of one text are never paired with each other. The keys are written to
+    the checkpoint folder: texts are read and mapped once.
     """
     keys = cut(canonical_keys(df, id_col, text_col).select("id", "canonical_key", "look_key", "raw_key"))
-    texts = keys.groupBy("canonical_key", "look_key", "raw_key").agg(F.lit(1).alias("one"))
-    several = texts.groupBy("canonical_key", "look_key").agg(F.count("*").alias("texts")).where("texts > 1").select("canonical_key", "look_key")
-    members = keys.join(several, ["canonical_key", "look_key"], "left_semi")
-    left = members.select("canonical_key", "look_key", F.col("raw_key").alias("raw_a"), F.col("id").alias("a"), F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("salt"))
-    right = members.select("canonical_key", "look_key", F.col("raw_key").alias("raw_b"), F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<bigint>")).alias("salt"))
-    pairs = left.join(right, ["canonical_key", "look_key", "salt"]).where("raw_a <> raw_b AND a < b")
-    return pairs.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).distinct()
+    texts = keys.groupBy("canonical_key", "look_key", "raw_key").agg(F.count("*").alias("n"))
+    several = texts.groupBy("canonical_key", "look_key").agg(F.count("*").alias("t")).where("t > 1").drop("t")
+    shared = texts.join(several, ["canonical_key", "look_key"], "left_semi")
+    many = shared.withColumnsRenamed({"raw_key": "raw_a", "n": "n_a"})
+    few = shared.withColumnsRenamed({"raw_key": "raw_b", "n": "n_b"})
+    pairs = cut(many.join(few, ["canonical_key", "look_key"]).where("n_a > n_b OR (n_a = n_b AND raw_a < raw_b)").select("raw_a", "raw_b"))
+    members = keys.select("id", "raw_key")
+    left = salted_join(members.select(F.col("id").alias("a"), F.col("raw_key").alias("raw_a")), pairs, "raw_a", "a").select("a", "raw_b")
+    both = salted_join(left, members.select(F.col("id").alias("b"), F.col("raw_key").alias("raw_b")).join(pairs.select("raw_b").distinct(), "raw_b", "left_semi"), "raw_b", "a")
+    return both.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).where("doc_a < doc_b").distinct()
