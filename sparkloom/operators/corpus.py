@@ -14,14 +14,10 @@ from pyspark.sql.window import Window
 
 from sparkloom.functions import fingerprints, paths
 from sparkloom.functions import text as tx
-from sparkloom.operators.lineage import cut
+from sparkloom.operators.lineage import cut, sized
 from sparkloom.operators.policy import CorpusPolicy
 
 
-#: Up to so many keys are sent to the executors; beyond, they are joined by shuffle.
-BROADCAST_KEYS = 500_000
-
-
 def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """One row for each key: the one with the largest ``by`` (map-side combined, no window). For narrow rows."""
     rest = [c for c in df.columns if c not in keys]
@@ -29,11 +25,6 @@ def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     return df.groupBy(*keys).agg(row.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """``df``, marked to be sent to the executors if it is counted to be small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
-
-
 def latest_wide(df: DataFrame, keys: list[str], by: str) -> DataFrame:
     """As ``latest``, for rows with contents: only those of repeated keys are moved, all others stay in their tasks."""
     known = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))

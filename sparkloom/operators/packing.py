@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
+from sparkloom.operators.lineage import cut, sized
+
 IGNORE = -100
 
 
@@ -25,20 +27,21 @@ def with_offsets(rows: DataFrame, order: str, size: str, parts: int | None = Non
     place = rows.select(F.col(order).cast("double").alias("_p"))
     marks = sorted(set(place.approxQuantile("_p", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
     bucketizer = Bucketizer(splits=[float("-inf"), *marks, float("inf")] if marks else [float("-inf"), 0.0, float("inf")], inputCol="_p", outputCol="_chunk", handleInvalid="keep")
-    cut = bucketizer.transform(rows.withColumn("_p", F.col(order).cast("double")))
-    totals = cut.groupBy("_chunk").agg(F.sum(size).alias("_n"))
+    chunked = bucketizer.transform(rows.withColumn("_p", F.col(order).cast("double")))
+    totals = chunked.groupBy("_chunk").agg(F.sum(size).alias("_n"))
     before = totals.withColumn("_before", F.sum("_n").over(Window.orderBy("_chunk")) - F.col("_n")).select("_chunk", "_before")  # at most n rows
     inner = F.sum(size).over(Window.partitionBy("_chunk").orderBy(order)) - F.col(size)
-    return cut.withColumn("_inner", inner).join(F.broadcast(before), "_chunk").withColumn("start", (F.col("_before") + F.col("_inner")).cast("bigint")).drop("_chunk", "_inner", "_before", "_p")
+    return chunked.withColumn("_inner", inner).join(F.broadcast(before), "_chunk").withColumn("start", (F.col("_before") + F.col("_inner")).cast("bigint")).drop("_chunk", "_inner", "_before", "_p")
 
 
 def shard_slices(rows: DataFrame, order: str, size: str, shard_tokens: int) -> DataFrame:
     """One row for each record and shard it lies in: shard, from_token and to_token within the record, and start of the slice.
 
-    Records of fewer than two tokens are left out before the prefix sum. Records may straddle shards.
+    Records of fewer than two tokens are left out before the prefix sum. Records may straddle shards. ``order`` is unique;
+    the prefix sum sees sizes only, and the rows themselves are joined with their starts once.
     """
-    long = rows.where(F.col(size) >= 2)
-    placed = with_offsets(long, order, size)
+    narrow = cut(rows.where(F.col(size) >= 2).select(order, size))
+    placed = rows.join(sized(with_offsets(narrow, order, size).select(order, "start")), order)
     first, last = F.floor(F.col("start") / shard_tokens), F.floor((F.col("start") + F.col(size) - 1) / shard_tokens)
     each = placed.withColumn("shard", F.explode(F.sequence(first, last)))
     begin = F.greatest(F.col("start"), F.col("shard") * shard_tokens)

@@ -27,13 +27,13 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the one stream of all tokens, by a prefix sum in two levels."""
-    rows = _streams(spark, sf_dir).select("doc_id", F.size("tokens").cast("bigint").alias("size")).where("size >= 2")
+    rows = cut(_streams(spark, sf_dir).select("doc_id", F.size("tokens").cast("bigint").alias("size"))).where("size >= 2")
     return packing.with_offsets(rows, "doc_id", "size").select("doc_id", "size", "start")
 
 
 def shard_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which tokens of which document lie in which shard."""
-    rows = _streams(spark, sf_dir).select("doc_id", F.size("tokens").cast("bigint").alias("size"))
+    rows = cut(_streams(spark, sf_dir).select("doc_id", F.size("tokens").cast("bigint").alias("size")))
     s = packing.shard_slices(rows, "doc_id", "size", SHARD)
     return s.select("doc_id", F.col("shard").cast("bigint").alias("shard"), F.col("from_token").cast("bigint").alias("from_token"), F.col("to_token").cast("bigint").alias("to_token"))
 

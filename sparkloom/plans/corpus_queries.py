@@ -67,7 +67,7 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = texts(spark, sf_dir).select("doc_id", tx.content_sha256(tx.strip(tx.unix_lines("text"))).alias("sha256"))
+    d = cut(texts(spark, sf_dir).select("doc_id", tx.content_sha256(tx.strip(tx.unix_lines("text"))).alias("sha256")))
     first = d.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     return d.join(first.where("copies > 1"), "sha256").select("doc_id", "first_id", "copies", (F.col("doc_id") == F.col("first_id")).alias("kept"))
 
