@@ -81,3 +81,13 @@ def test_empty(spark):
     st = L.file_statements(f)
     repo = L.repository_licenses(s, st, L.texts_named_elsewhere(f, s))
     assert repo.count() == 0 and L.file_verdicts(st, repo).count() == 0 and L.effective_licenses(st, repo).count() == 0
+
+
+def test_joins_by_shuffle_give_the_same(spark, monkeypatch):
+    s, f = tables(spark)
+    st = L.file_statements(f)
+    repo = L.repository_licenses(s, st, L.texts_named_elsewhere(f, s))
+    want = sorted(map(str, L.effective_licenses(st, repo).collect()))
+    monkeypatch.setattr(L, "BROADCAST_SOURCES", -1)
+    again = L.repository_licenses(s, st, L.texts_named_elsewhere(f, s))
+    assert sorted(map(str, L.effective_licenses(st, again).collect())) == want
