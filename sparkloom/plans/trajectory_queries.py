@@ -122,6 +122,13 @@ x AS (SELECT traj_id, nth, true AS valid, CASE WHEN json_exists(e, '$.action') T
   CASE WHEN json_exists(e, '$.action') THEN coalesce(json_extract(e, '$.action.arguments')::VARCHAR = json_extract(raw, '$.action.arguments')::VARCHAR, false) ELSE true END AS same FROM d WHERE raw IS NOT NULL),
 s AS (SELECT traj_id, nth, valid, semantic, semantic AND same AS arguments_exact FROM x)"""
 
+# Conversations without errors only: then a plan always belongs to the next message.
+_CANONICAL = f"""{_M}, n AS (SELECT *, CASE WHEN lag(m.channel) OVER w = 'plan' THEN coalesce(lag(m.content) OVER w, '') END AS before FROM m WINDOW w AS (PARTITION BY traj_id ORDER BY i)),
+b AS (SELECT traj_id, i, m, coalesce(before, json_extract_string(m.decision, '$.plan')) AS plan,
+  CASE WHEN m.action IS NOT NULL THEN json(m.action)::VARCHAR ELSE json_extract(m.decision, '$.action')::VARCHAR END AS a,
+  CASE WHEN m.decision IS NOT NULL THEN json_extract_string(m.decision, '$.result') WHEN m.action IS NULL THEN coalesce(m.content, '') END AS r FROM n WHERE NOT coalesce(m.role = 'assistant' AND m.channel = 'plan', false)),
+c AS (SELECT *, '{{' || concat_ws(',', '"action":' || a, '"plan":' || to_json(plan)::VARCHAR, CASE WHEN a IS NULL THEN '"result":' || to_json(r)::VARCHAR END) || '}}' AS d FROM b)"""
+
 SQL = {
     "message_roles": f"WITH {_M} SELECT source_id, m.role AS role, m.channel AS channel, count(*) AS messages, sum(length(m.content))::BIGINT AS chars FROM m GROUP BY ALL",
     "conversation_shape": f"""WITH {_M} SELECT traj_id, count(*) AS messages, count(*) FILTER (m.role = 'assistant') AS assistant_turns,
@@ -130,6 +137,12 @@ SQL = {
     "decision_counts": f"""WITH {_M} SELECT traj_id, count(*) FILTER (m.role = 'assistant' AND (m.channel = 'plan' OR json_exists(m.decision, '$.plan'))) AS plans,
   count(*) FILTER (m.role = 'assistant' AND (m.action IS NOT NULL OR json_exists(m.decision, '$.action'))) AS actions,
   count(*) FILTER (m.role = 'assistant' AND (m.channel = 'result' OR json_exists(m.decision, '$.result') OR (m.channel IS NULL AND m.action IS NULL AND m.decision IS NULL))) AS results FROM m GROUP BY traj_id""",
+    "canonical_decisions": f"""WITH {_CANONICAL} SELECT traj_id, NULL::VARCHAR AS error, row_number() OVER (PARTITION BY traj_id ORDER BY i) - 1 AS nth, d AS decision FROM c WHERE m.role = 'assistant'""",
+    "serialized": f"""WITH {_CANONICAL}, x AS (SELECT traj_id, i, m.role = 'assistant' AS learns, CASE m.role WHEN 'system' THEN '<|system|>' WHEN 'user' THEN '<|user|>' WHEN 'assistant' THEN '<|assistant|>' ELSE '<|observation|>' END || chr(10)
+  || CASE WHEN m.role = 'assistant' THEN coalesce('<|plan|>' || chr(10) || plan || chr(10), '') || coalesce('<|action|>' || chr(10) || a, '<|result|>' || chr(10) || r)
+     WHEN m.role IN ('tool', 'observation') THEN 'name=' || coalesce(m.name, 'environment') || chr(10) || coalesce(m.content, '') ELSE coalesce(m.content, '') END || chr(10) || '<|turn_end|>' || chr(10) AS text FROM c),
+y AS (SELECT traj_id, i, learns, text FROM x UNION ALL SELECT traj_id, -1, false, '<|bos|>' FROM t UNION ALL SELECT traj_id, 1000000, false, '<|eos|>' FROM t)
+SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY i) - 1 AS pos, sha256(text) AS text_sha256, length(text) AS chars, learns FROM y""",
     "segment_flags": f"""WITH {_M} SELECT traj_id, 2 + count(*) FILTER (NOT coalesce(m.channel = 'plan', false)) AS segments, count(*) FILTER (m.role = 'assistant' AND NOT coalesce(m.channel = 'plan', false)) AS learnt FROM m GROUP BY traj_id""",
     "observation_checks": f"""WITH {_M}, u AS (SELECT traj_id, i, m.role AS role, m.name AS name, lag(m.role) OVER w AS before, lag({_NAME}) OVER w AS action FROM m WHERE m.role IN ('assistant', 'tool') WINDOW w AS (PARTITION BY traj_id ORDER BY i)),
 e AS (SELECT traj_id, bool_or(role = 'tool' AND NOT coalesce(before = 'assistant' AND action = name, false)) AS wrong, bool_or(role = 'assistant') AS decided FROM u GROUP BY traj_id)
