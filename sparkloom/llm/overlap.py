@@ -1,14 +1,15 @@
 """Problem 1: same or near-same records across splits.
 
-Method: winnowing. Each record becomes a row of word hashes; of the hashes of its runs of k words, the least of every w
-neighbours is kept as a seed. Seeds of the training side are joined with those of the held-out side, the seeds of a pair
-are chained in order, and pairs with enough of their words covered by the chain are verified by the word edit distance of
-the whole records. Any common run of k + w - 1 words gives both records a common seed.
+Method: pigeonhole over blocks. Each record becomes a row of word hashes. A training record of n words is cut into one
+block more than the edits that a pair above the wanted similarity may have (n/4 blocks of four words, the first up to three
+of them shorter, at 0.8), so at least one block stands unchanged in the other record. Held-out records give all runs of
+such lengths. Runs are joined, hits must fit in length and position, and pairs with as many blocks as must be left
+unchanged are verified: by counts of hashed words first, then by the word edit distance of the whole records.
 
-* Shorter records also give seeds of shorter runs (``TIERS``), so that few common words suffice for them.
 * Records with the same words are collapsed first, on each side, and written out as records at the end.
-* Seeds held by very many records (passages that belong to a form) are left out of records with enough others; records
-  that consist mostly of such passages keep the least few of them, the same ones wherever the passage stands.
+* Of the blocks of a record, as many as a pair may have edits, and one, suffice to find it. Blocks that very many records
+  hold (the hot list) are put last, so that they are needed for partners of fitting length only, and joined by that length.
+  Which blocks are listed never changes the result.
 
 Defined results: null contents are skipped; records without any word match nothing; null ids and sources without a split
 are left out; split values are compared without case and surrounding spaces; repeated rows count once.
@@ -19,6 +20,8 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,8 @@ from sparkloom.llm.grouping import assigned_splits
 from sparkloom.llm.words import WordHashes, mix, shingles, split_words
 from sparkloom.operators.lineage import cut
 
-#: (words of a run, neighbours of a window, longest record in words or None)
-TIERS = ((8, 6, None), (5, 4, 192), (3, 2, 48))
-#: A record with so many other seeds, or with ``SOME`` that make up ``PART`` of all its seeds, does without those of the hot
-#: list; others keep the ``FEW`` least of these. A pair above 0.8 can differ in a fifth of its words only, so where other
-#: seeds are two fifths of all, half of them stand in words that agree.
-PLENTY, SOME, PART, FEW = 24, 8, 0.4, 8
+#: (words of a run, neighbours of a window, longest record in words or None) of the seeds that ``covered`` is measured by
+TIERS = ((8, 4, None), (5, 3, 192), (3, 2, 48))
 #: Entries of the hot list, 8 bytes each; so many rows may reach the driver and are sent to the executors.
 HOT_LIST = 100_000
 #: Up to so many distinct sources the split table is sent to the executors; beyond, it is joined by shuffle.
@@ -43,9 +42,10 @@ BROADCAST_SOURCES = 200_000
 BROADCAST_IDS = 500_000
 #: Records of more words are aligned piece by piece between the seeds of their chain.
 PIECEWISE = 20_000
-#: Least part of the words of a pair, and number of words that suffices, that chained seeds must cover before it is aligned.
-COVER, ENOUGH = 0.05, 24
-PLACE = (1 << 29) - 1
+#: Counters of hashed words in the sketch of a record, a byte each.
+SKETCH = 32
+#: Up to so many pairs of equal seeds of two records are all chained; beyond, the nth of one with the nth of the other.
+ALL_SEEDS = 1 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -91,8 +91,8 @@ def winnow(marks: np.ndarray, w: int) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(marks, w).argmin(1) + np.arange(len(marks) - w + 1))
 
 
-def seeds_of(words: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, position, run length) of one record; ``hot`` is sorted."""
+def seeds_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, position, run length) of one record."""
     n, h = len(words), mix(words.astype(np.uint64))
     got = []
     for k, w, longest in TIERS:
@@ -102,55 +102,184 @@ def seeds_of(words: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray
             got.append((marks[pos], pos, np.full(len(pos), k)))
     if not got:  # fewer words than any run
         return mix(np.array([(h * np.arange(1, n + 1, dtype=np.uint64)).sum()])), np.zeros(1, np.int64), np.full(1, n)
-    seed, pos, k = (np.concatenate(x) for x in zip(*got))
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
+def common_seeds(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int, int]]:
+    """(position in u, position in v, length) of the seeds that two records share."""
+    (su, pu, ku), (sv, pv, _) = seeds_of(u), seeds_of(v)
+    i, j = np.argsort(su, kind="stable"), np.argsort(sv, kind="stable")
+    lo, hi = np.searchsorted(sv[j], su[i], "left"), np.searchsorted(sv[j], su[i], "right")
+    size = hi - lo
+    if size.sum() > ALL_SEEDS:
+        lo = lo + np.arange(len(i)) - np.searchsorted(su[i], su[i], "left")
+        size = (lo < hi).astype(np.int64)
+    x = np.repeat(i, size)
+    y = j[np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)]
+    return list(zip(pu[x].tolist(), pv[y].tolist(), ku[x].tolist()))
+
+
+class Bounds:
+    """How far two records may differ: edits must be fewer than ``p/q`` of the longer one's words."""
+
+    def __init__(self, least: float):
+        if not 0.5 <= least < 1:
+            raise ValueError("least must be from 0.5 to below 1")
+        part = 1 - Fraction(str(least))
+        self.p, self.q = part.numerator, part.denominator
+        self.probes = lru_cache(1 << 14)(self._probes)
+
+    def __reduce__(self):
+        return Bounds, (float(1 - Fraction(self.p, self.q)),)
+
+    def edits(self, longer):
+        """Most edits of a pair whose longer record has so many words."""
+        return (self.p * longer - 1) // self.q
+
+    def most(self, n):
+        """Most edits of a pair that a record of ``n`` words is in, whatever the other's length."""
+        return (self.p * n - 1) // (self.q - self.p)
+
+    def blocks(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position, length) of the blocks of ``n`` words, one more than ``most``; shorter ones come first."""
+        m = self.most(n) + 1
+        size = np.full(m, n // m)
+        size[m - n % m :] += 1
+        return np.cumsum(size) - size, size
+
+    def _probes(self, n: int) -> list[tuple[int, int]]:
+        """(length, last position) of the runs of a record of ``n`` words where a block of some other may stand."""
+        other = np.arange(max(1, n - self.edits(n)), n + self.most(n) + 1)
+        m = self.most(other) + 1
+        k, longer, edits = other // m, other % m, self.edits(np.maximum(other, n))
+        short = np.stack([k, (m - longer - 1) * k + edits])
+        long = np.stack([k + 1, other - k - 1 + edits])[:, longer > 0]
+        both = np.concatenate([short, long], 1)
+        return [(int(x), min(n - int(x), int(both[1][both[0] == x].max()))) for x in np.unique(both[0]) if x <= n]
+
+
+def length_class(n):
+    """Number of a class of lengths, about 3 % wide."""
+    return np.floor(np.log(n) * 32).astype(np.int64)
+
+
+def runs(h: np.ndarray, size: int) -> np.ndarray:
+    return shingles(h, size) + np.uint64(size)
+
+
+def runs_of(h: np.ndarray, pos: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the run of ``size`` words at each position; positions of one size stand together."""
+    return np.concatenate([runs(h, int(k))[pos[size == k]] for k in np.unique(size)])
+
+
+def block_rows(words: np.ndarray, bounds: Bounds, hot: np.ndarray, heat: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(seed, first position, last position, blocks, rank, blocks not hot) of the blocks of one training record. Equal
+    blocks are one row, hot ones a row each for every class of length of the partners that need them."""
+    n, h = len(words), mix(words.astype(np.uint64))
+    pos, size = bounds.blocks(n)
+    seed = runs_of(h, pos, size)
+    at = np.minimum(np.searchsorted(hot, seed), max(0, len(hot) - 1))
+    is_hot = hot[at] == seed if len(hot) else np.zeros(len(seed), bool)
+    cold = int((~is_hot).sum())
+    u, first, back, count = np.unique(seed[~is_hot], return_index=True, return_inverse=True, return_counts=True)
+    last = np.zeros(len(u), np.int64)
+    np.maximum.at(last, back, pos[~is_hot])
+    rows = [(u, pos[~is_hot][first], last, count, np.zeros(len(u), np.int64))]
+    if cold < len(seed):
+        order = np.flatnonzero(is_hot)
+        order = order[np.argsort(heat[at[order]], kind="stable")]
+        rank = cold + np.arange(len(order))
+        low = np.where(rank <= bounds.edits(n), max(1, n - bounds.edits(n)), -(-(bounds.q * rank + 1) // bounds.p))
+        begin = length_class(low)
+        times = length_class(n + bounds.most(n)) - begin + 1
+        row = np.repeat(np.arange(len(order)), times)
+        cls = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + begin[row]
+        where = pos[order][row]
+        rows.append((by_length(seed[order][row], cls), where, where, np.ones(len(row), np.int64), rank[row]))
+    out = [np.concatenate(x) for x in zip(*rows)]
+    return *out, np.full(len(out[0]), cold)
+
+
+def by_length(seed: np.ndarray, cls) -> np.ndarray:
+    return mix(seed + np.asarray(cls + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def probe_rows(words: np.ndarray, bounds: Bounds, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(seed, first position, last position, runs) of the runs of one held-out record; equal runs are one row."""
+    n, h = len(words), mix(words.astype(np.uint64))
+    parts = [(runs(h, k)[: last + 1], np.arange(last + 1)) for k, last in bounds.probes(n)]
+    seed, pos = (np.concatenate(x) for x in zip(*parts))
+    u, first, back, count = np.unique(seed, return_index=True, return_inverse=True, return_counts=True)
+    last = np.zeros(len(u), np.int64)
+    np.maximum.at(last, back, pos)
     if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, seed), len(hot) - 1)] == seed
-        if is_hot.any():
-            others = int((~is_hot).sum())
-            keep = ~is_hot
-            if others < PLENTY and (others < SOME or others < PART * len(seed)):
-                keep |= np.isin(seed, np.sort(seed[is_hot])[:FEW])
-            seed, pos, k = seed[keep], pos[keep], k[keep]
-    return seed, pos, k
+        is_hot = hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] == u
+        u = np.where(is_hot, by_length(u, length_class(n)), u)
+    return u, pos[first], last, count
 
 
-def hot_seeds(docs: DataFrame) -> np.ndarray:
-    """Seeds that many records hold, sorted; at most ``HOT_LIST``. A seed that so many records hold overall is held by as
-    large a part of the records of some task, so tasks report only those."""
-    none = np.empty(0, np.uint64)
+def hot_blocks(docs: DataFrame, bounds: Bounds) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks that many records hold, sorted, and how many; at most ``HOT_LIST``. A block that so many records hold overall
+    is held by as large a part of the records of some task, so tasks report only those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, records = [], 0
         for b in batches:
             for blob in b.column(0).to_pylist():
                 records += 1
-                parts.append(np.unique(seeds_of(np.frombuffer(blob, np.uint32), none)[0]))
+                words = np.frombuffer(blob, np.uint32)
+                parts.append(np.unique(runs_of(mix(words.astype(np.uint64)), *bounds.blocks(len(words)))))
         if parts:
             seed, n = np.unique(np.concatenate(parts), return_counts=True)
             keep = n >= max(32, records // 500)
             yield pa.RecordBatch.from_arrays([pa.array(seed[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["seed", "n"])
 
     rows = docs.select("words").mapInArrow(run, "seed BIGINT, n BIGINT").groupBy("seed").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "seed").limit(HOT_LIST).collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+    seed, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(seed)
+    return seed[order], n[order]
 
 
-def seed_table(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(seed, record_id, packed) of every record; packed holds its words (31 bits), the position (29) and run length (4)."""
+def seed_table(docs: DataFrame, train: bool, bounds: Bounds, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(seed, id, at, more) of every record, and part for blocks: at holds its words and the first position, more the number
+    of equal runs and how far the last is from the first, part the rank and the blocks that are not hot."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, heat = sent.value
         for b in batches:
-            all_of = [seeds_of(np.frombuffer(x, np.uint32), sent.value) for x in b.column(2).to_pylist()]
-            if not all_of:
+            rows = [np.frombuffer(x, np.uint32) for x in b.column(1).to_pylist()]
+            if not rows:
                 continue
-            size = np.array([len(s) for s, _, _ in all_of])
+            all_of = [block_rows(w, bounds, seeds, heat) if train else probe_rows(w, bounds, seeds) for w in rows]
+            size = np.array([len(r[0]) for r in all_of])
             row = np.repeat(np.arange(len(size)), size)
-            seed, pos, k = (np.concatenate(x) for x in zip(*all_of))
-            packed = n_of(b)[row] << 33 | pos.astype(np.int64) << 4 | k.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), b.column(0).take(row), pa.array(packed)], ["seed", "record_id", "packed"])
+            seed, first, last, count, *rest = (np.concatenate(x) for x in zip(*all_of))
+            n = np.array([len(w) for w in rows], np.int64)
+            cols = [pa.array(seed.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(n[row] << 32 | first), pa.array(count << 32 | last - first)]
+            if train:
+                cols.append(pa.array(rest[0] << 32 | rest[1]))
+            yield pa.RecordBatch.from_arrays(cols, ["seed", "id", "at", "more", "part"][: len(cols)])
 
-    n_of = lambda b: b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return docs.select("record_id", "n", "words").mapInArrow(run, "seed BIGINT, record_id BIGINT, packed BIGINT")
+    return docs.select("record_id", "words").mapInArrow(run, "seed BIGINT, id BIGINT, at BIGINT, more BIGINT" + ", part BIGINT" * train)
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(id, sketch): how many words of each record fall to each counter; 255 stands for all numbers above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.minimum(np.bincount(np.frombuffer(x, np.uint32) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "sketch"])
+
+    return docs.select("record_id", "words").mapInArrow(run, "id BIGINT, sketch BINARY")
+
+
+def word_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """Least edits of two rows of words, by how often each word occurs."""
+    x, n = np.unique(np.concatenate([a, b]), return_inverse=True)
+    more = np.bincount(n[: len(a)], minlength=len(x)) - np.bincount(n[len(a) :], minlength=len(x))
+    return max(int(more[more > 0].sum()), int(-more[more < 0].sum()))
 
 
 def chain(seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -235,26 +364,30 @@ def distance(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int, int]],
 
 def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(train_rep, held_rep, similarity, covered) of all pairs of representatives whose similarity is above ``least``."""
-    hot = hot_seeds(docs)
-    t = seed_table(docs.where("train"), hot).select("seed", F.col("record_id").alias("a"), F.col("packed").alias("x"))
-    e = seed_table(docs.where("NOT train"), hot).select("seed", F.col("record_id").alias("b"), F.col("packed").alias("y"))
-    na, nb, k = F.shiftright("x", 33), F.shiftright("y", 33), F.col("x").bitwiseAND(15)
-    fits = (F.least(na, nb) > F.lit(least) * F.greatest(na, nb)) & (k == F.col("y").bitwiseAND(15))
+    bounds, docs_t, docs_h = Bounds(least), docs.where("train"), docs.where("NOT train")
+    hot = hot_blocks(docs_t, bounds)
+    t = seed_table(docs_t, True, bounds, hot).select("seed", F.col("id").alias("a"), F.col("at").alias("x"), F.col("more").alias("xm"), "part")
+    e = seed_table(docs_h, False, bounds, hot).select("seed", F.col("id").alias("b"), F.col("at").alias("y"), F.col("more").alias("ym"))
+    high, low = (lambda c: f"shiftright({c}, 32)"), (lambda c: f"({c} & 4294967295)")
+    edits = f"((greatest({high('x')}, {high('y')}) * {bounds.p}L - 1) div {bounds.q}L)"
+    # an unchanged run moves by no more than the edits before it, and by no more than those behind it
+    shift = lambda v: f"greatest({low('x')} - {v} - {low('y')} - {low('ym')}, {low('y')} + {v} - {low('x')} - {low('xm')}, 0L)"
+    fits = f"abs({high('x')} - {high('y')}) <= {edits} AND {high('part')} <= {edits} AND {shift('0L')} + {shift(f'({high("x")} - {high("y")})')} <= {edits}"
     hits = t.join(e, "seed").where(fits)
-    pairs = hits.groupBy("a", "b").agg(F.max(F.greatest(na, nb)).alias("n"), F.sum(k).alias("most"), F.collect_list(F.struct("x", "y")).alias("seeds")).where(F.col("most") >= F.least(F.lit(COVER) * F.col("n"), F.lit(ENOUGH)))
+    blocks = f"({bounds.p}L * {high('x')} - 1) div {bounds.q - bounds.p}L + 1"
+    needed = f"greatest({low('part')}, least({blocks}, {edits} + 1)) - {edits}"
+    pairs = hits.groupBy("a", "b").agg(F.expr(f"sum(least({high('xm')}, {high('ym')}))").alias("have"), F.expr(f"max({needed})").alias("needed"), F.expr(f"max({edits})").alias("edits")).where("have >= needed")
 
-    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for x, y, n, seeds_ in zip(*(c.to_pylist() for c in b.columns)):
-                line = chain([(s["x"] >> 4 & PLACE, s["y"] >> 4 & PLACE, s["x"] & 15) for s in seeds_])
-                cover = covered(line)
-                if cover >= min(COVER * n, ENOUGH):
-                    rows.append((x, y, cover, np.array(line, np.int32).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t_) for c, t_ in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["a", "b", "covered", "line"])
-
-    candidates = pairs.select("a", "b", "n", "seeds").mapInArrow(chained, "a BIGINT, b BIGINT, covered INT, line BINARY")
+            u, v = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int32) for c in (3, 4))
+            apart = np.maximum(np.maximum(u - v, 0).sum(1), np.maximum(v - u, 0).sum(1))
+            yield b.select(["a", "b"]).filter(pa.array(apart <= b.column(2).to_numpy()))
+
+    candidates = pairs.select("a", "b", "edits")
+    candidates = candidates.join(sketches(docs_t).withColumnsRenamed({"id": "a", "sketch": "u"}), "a")
+    candidates = candidates.join(sketches(docs_h).withColumnsRenamed({"id": "b", "sketch": "v"}), "b")
+    candidates = candidates.select("a", "b", "edits", "u", "v").mapInArrow(sketched, "a BIGINT, b BIGINT")
     left = docs.where("train").select(F.col("record_id").alias("a"), F.col("words").alias("wa"))
     right = docs.where("NOT train").select(F.col("record_id").alias("b"), F.col("words").alias("wb"))
     candidates = cut(candidates)
@@ -265,17 +398,20 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for x, y, cover, line, wa, wb in zip(*(c.to_pylist() for c in b.columns)):
+            for x, y, wa, wb in zip(*(c.to_pylist() for c in b.columns)):
                 u, v = np.frombuffer(wa, np.uint32), np.frombuffer(wb, np.uint32)
                 n = max(len(u), len(v))
-                limit = int(n * (1 - least))
-                d = distance(u, v, [tuple(s) for s in np.frombuffer(line, np.int32).reshape(-1, 3).tolist()], limit)
-                if 1 - d / n > least:
-                    rows.append((x, y, 1 - d / n, cover / n))
+                limit = bounds.edits(n)
+                if word_bound(u, v) > limit:
+                    continue
+                line = chain(common_seeds(u, v)) if n > PIECEWISE else []
+                d = distance(u, v, line, limit)
+                if d <= limit:
+                    rows.append((x, y, 1 - d / n, covered(line or chain(common_seeds(u, v))) / n))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["train_rep", "held_rep", "similarity", "covered"])
 
-    both = candidates.join(left, "a").join(right, "b").select("a", "b", "covered", "line", "wa", "wb")
+    both = candidates.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
     return both.mapInArrow(aligned, "train_rep BIGINT, held_rep BIGINT, similarity DOUBLE, covered DOUBLE")
 
 

@@ -114,3 +114,21 @@ def test_joins_by_shuffle_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(O, "BROADCAST_IDS", -1)
     monkeypatch.setattr(O, "BROADCAST_SOURCES", -1)
     assert {(x.train_id, x.held_id) for x in O.overlaps(df, r).collect()} == want == brute(rows, [("a", "train"), ("b", "test")])
+
+
+def counted(rows):
+    have = [(i, s == "a", split_words(t)) for i, s, t in rows]
+    near = lambda a, b: O.word_distance(a, b, n := (max(len(a), len(b)) - 1) // 5) <= n
+    return {(i, j) for i, t, a in have for j, u, b in have if t and not u and near(a, b)}
+
+
+def test_group_of_near_copies_equals_brute_force(spark):
+    """Runs that nearly all records hold, in records with many runs of their own, and records made mostly of one passage."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(165)]
+    rows = [(i, "ab"[i % 2], " ".join(f"e{rng.randrange(10**6)}" if rng.random() < 0.05 else w for w in base)) for i in range(300)]
+    form = [f"form{i}" for i in range(150)]
+    rows += [(1000 + i, "ab"[i % 2], " ".join(form + [f"o{rng.randrange(10**6)}" for _ in range(rng.choice([30, 34, 36, 40, 60]))])) for i in range(160)]
+    df, r = trajectories(spark, rows), spark.createDataFrame([("a", "train"), ("b", "test")], RESOLVED)
+    got, want = {(x.train_id, x.held_id) for x in O.overlaps(df, r).collect()}, counted(rows)
+    assert got == want and sum(i < 1000 for i, _ in want) > 20_000 and sum(i >= 1000 for i, _ in want) > 500
