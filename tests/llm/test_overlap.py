@@ -132,3 +132,17 @@ def test_group_of_near_copies_equals_brute_force(spark):
     df, r = trajectories(spark, rows), spark.createDataFrame([("a", "train"), ("b", "test")], RESOLVED)
     got, want = {(x.train_id, x.held_id) for x in O.overlaps(df, r).collect()}, counted(rows)
     assert got == want and sum(i < 1000 for i, _ in want) > 20_000 and sum(i >= 1000 for i, _ in want) > 500
+
+
+def test_evenly_spread_differences(spark):
+    """Every 6th or 7th word changed leaves no common run of 8 words, at any length."""
+    rows, n = [], 0
+    for size in (40, 188, 200, 400, 1000):
+        for step in (6, 7):
+            base = [f"s{size}x{step}x{i}" for i in range(size)]
+            for side, text in (("a", base), ("b", [f"c{i}" if i % step == 2 else w for i, w in enumerate(base)]), ("b", base + [f"t{i}" for i in range(size // 5)])):
+                rows.append((n, side, " ".join(text)))
+                n += 1
+    df, r = trajectories(spark, rows), spark.createDataFrame([("a", "train"), ("b", "test")], RESOLVED)
+    got, want = {(x.train_id, x.held_id) for x in O.overlaps(df, r).collect()}, counted(rows)
+    assert got == want and len(want) == 20
