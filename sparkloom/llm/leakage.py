@@ -4,17 +4,22 @@ Method: every window of ``window`` words of an item and of a document gets a Sim
 are cut into ``radius + 1`` blocks; two fingerprints within the radius agree in at least one block, so looking each block
 up finds all of them. Candidates are verified by the weighted Jaccard similarity of the windows' shingle multisets.
 
+Windows of an item's own size, whatever that is, are found apart (``NearIndex``): an item of n words that a document holds
+with up to a fifth of n word edits leaves one of its n/5 + 1 blocks unchanged. The blocks are looked up in all runs of the
+document, and the places are verified by the least word edit distance of the item to any part of them.
+
 The items are the stated query set: they are sent to the executors in passes of at most ``windows_per_pass`` windows
 (whatever the number of items), and every pass reads all documents once. Document texts and fingerprints stay in their
 tasks; only hits are shuffled.
 
-Defined results: null, blank or short texts and items (under ``window`` words) have no windows and no hits; repeated rows
+Defined results: null and blank texts and items have no hits, those under ``window`` words only by the items' own size; repeated rows
 of one id count once; documents are processed whole, in chunks that overlap by a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +110,99 @@ class ItemIndex:
         return both // self.size, both % self.size
 
 
-def scan(index: ItemIndex, least: float, ids: list, texts: list, cache: WordHashes, chunk: int = 1 << 14) -> Iterator[tuple]:
+def part_distance(item: list, text: list) -> int:
+    """Least word edit distance of ``item`` to any part of ``text`` (bit-parallel, by columns)."""
+    places: dict = {}
+    for p, word in enumerate(item):
+        places[word] = places.get(word, 0) | 1 << p
+    full, top = (1 << len(item)) - 1, 1 << len(item) - 1
+    plus, minus, score = full, 0, len(item)
+    best = score
+    for word in text:
+        same = places.get(word, 0)
+        vert = same | minus
+        hori = (((same & plus) + plus) ^ plus) | same
+        up = minus | (full & ~(hori | plus))
+        down = plus & hori
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+            best = min(best, score)
+        up = up << 1 & full
+        plus = (down << 1 & full) | (full & ~(vert | up))
+        minus = up & vert
+    return best
+
+
+class NearIndex:
+    """Blocks of the items of one pass: of an item of n words, one more than the edits that ``least`` allows."""
+
+    def __init__(self, items: list[tuple[str, str]], least: float):
+        self.ids, self.words, self.edits, rows = [i for i, _ in items], [], [], []
+        part, cache = 1 - Fraction(str(least)), WordHashes()
+        for i, (_, text) in enumerate(items):
+            h = cache.of(split_words(canonical_form(text)))
+            d = int(part * len(h))
+            self.words.append(h)
+            self.edits.append(d)
+            if len(h):
+                ends = np.arange(d + 2) * len(h) // (d + 1)
+                for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    rows.append((end - begin, shingles(h[begin:end], end - begin)[0], i, begin))
+        self.sorted = [np.sort(w) for w in self.words]
+        self.tables = {}
+        for k in {r[0] for r in rows}:
+            seed, item, begin = (np.array(x, t) for x, t in zip(zip(*(r[1:] for r in rows if r[0] == k)), (np.uint64, np.int64, np.int64)))
+            order = np.argsort(seed, kind="stable")
+            self.tables[k] = seed[order], item[order], begin[order]
+
+    def places(self, h: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(item, places, best similarity) of the items that the words ``h`` hold."""
+        at, to = [], []
+        for k, (seed, item, begin) in self.tables.items():
+            marks = shingles(h, k)
+            lo = np.searchsorted(seed, marks)
+            some = np.flatnonzero(seed[np.minimum(lo, len(seed) - 1)] == marks)
+            lo = lo[some]
+            n = np.searchsorted(seed, marks[some], "right") - lo
+            row = np.repeat(some, n)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            at.append(row - begin[j])
+            to.append(item[j])
+        if not at:
+            return
+        at, to = np.concatenate(at), np.concatenate(to)
+        order = np.lexsort((at, to))
+        at, to = at[order], to[order]
+        edges = np.flatnonzero(np.diff(to, prepend=-1))
+        for i, starts in zip(to[edges].tolist(), np.split(at, edges[1:])):
+            words, d = self.words[i], self.edits[i]
+            reach = len(words) + 2 * d
+            # only where enough words of the item stand
+            lo, hi = np.maximum(starts - d, 0), np.minimum(starts - d + reach, len(h))
+            have, near = self.sorted[i], h[lo[0] : hi[-1]]
+            known = np.zeros(len(near) + 1, np.int64)
+            np.cumsum(have[np.minimum(np.searchsorted(have, near), len(have) - 1)] == near, out=known[1:])
+            keep = known[hi - lo[0]] - known[lo - lo[0]] >= len(words) - d
+            lo, hi = lo[keep], hi[keep]
+            if not len(lo):
+                continue
+            cuts = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+            found = [part_distance(words.tolist(), h[x[0] : y[-1]].tolist()) for x, y in zip(np.split(lo, cuts), np.split(hi, cuts))]
+            found = [x for x in found if x <= d]
+            if found:
+                yield i, len(found), 1 - min(found) / len(words)
+
+
+def near_scan(index: NearIndex, ids: list, rows: list) -> Iterator[tuple]:
+    """Hits of one batch of documents by the items' own size, in the form of ``scan``."""
+    for doc, h in zip(ids, rows):
+        for i, n, x in index.places(h):
+            yield doc, index.ids[i], n, 0, x
+
+
+def scan(index: ItemIndex, least: float, ids: list, rows: list, chunk: int = 1 << 14) -> Iterator[tuple]:
     """Hits of one batch of documents: (doc_id, case_id, windows, exact windows, best similarity), per chunk of words."""
     per = index.window - index.shingle + 1
     flat, doc, total = [], [], 0
@@ -134,10 +231,7 @@ def scan(index: ItemIndex, least: float, ids: list, texts: list, cache: WordHash
         for (a, k), g in groups.items():
             yield ids[a], index.ids[k], g[0], g[1], g[2]
 
-    for i, text in enumerate(texts):
-        if not text:
-            continue
-        h = cache.of(split_words(canonical_form(text)))
+    for i, h in enumerate(rows):
         for start in range(0, max(1, len(h) - index.window + 1), chunk):
             part = h[start : start + chunk + index.window - 1]
             if len(part) < index.window:
@@ -154,10 +248,11 @@ def scan(index: ItemIndex, least: float, ids: list, texts: list, cache: WordHash
         yield from flush()
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "case_id", item_text: str = "task", window: int = 12, shingle: int = 5, radius: int = 3, least: float = 0.8, windows_per_pass: int = 1 << 17) -> DataFrame:
-    """One row for each document and item that share a window within the radius and of similarity ``least`` or more.
+def leaked_items(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "case_id", item_text: str = "task", window: int = 12, shingle: int = 5, radius: int = 3, least: float = 0.8, windows_per_pass: int = 1 << 17, near: bool = True) -> DataFrame:
+    """One row for each document and item that share a window within the radius and of similarity ``least`` or more, or, with
+    ``near``, where the document holds the whole item with at most ``1 - least`` of its words edited.
 
-    Columns: doc_id, case_id, windows (matching pairs of windows), exact_windows (of these, word for word),
+    Columns: doc_id, case_id, windows (matching pairs of windows, and places of the whole item), exact_windows (of these, word for word),
     similarity (the best).
     """
     spark = documents.sparkSession
@@ -168,15 +263,17 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_i
     found = None
     for n in range(passes):
         part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("case_id"), F.lit(passes)) == n)
-        index = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in part.toLocalIterator()], window, shingle, radius))
+        index = spark.sparkContext.broadcast((ItemIndex(rows := [(r[0], r[1]) for r in part.toLocalIterator()], window, shingle, radius), NearIndex(rows if near else [], least)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
+            windows, whole = index.value
             for b in batches:
-                if index.value.size:
-                    rows = list(scan(index.value, least, b.column(0).to_pylist(), b.column(1).to_pylist(), cache))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "case_id", "windows", "exact_windows", "similarity"])
+                ids, words = b.column(0).to_pylist(), [cache.of(split_words(canonical_form(t))) for t in b.column(1).to_pylist()]
+                rows = list(scan(windows, least, ids, words)) if windows.size else []
+                rows += near_scan(whole, ids, words) if whole.tables else []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["doc_id", "case_id", "windows", "exact_windows", "similarity"])
 
         hits = docs.mapInArrow(run, SCHEMA)
         found = hits if found is None else found.unionByName(hits)

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from sparkloom.llm.leakage import leaked_items
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaked_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_cases.parquet"))
+def _leaks(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
+    return leaked_items(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_cases.parquet"), near=near)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least twelve words in a row of a case: windows of twelve words that match word for word."""
-    return _leaks(spark, sf_dir).where("exact_windows > 0").select("doc_id", "case_id")
+    return _leaks(spark, sf_dir, near=False).where("exact_windows > 0").select("doc_id", "case_id")
 
 
 def p5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

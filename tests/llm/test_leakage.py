@@ -73,3 +73,23 @@ def test_near_leak_and_long_document(spark):
     d = spark.createDataFrame([(1, " ".join(near)), (2, " ".join(long)), (3, " ".join(words[::-1]))], DOCS)
     got = {r.doc_id: r for r in L.leaked_items(d, spark.createDataFrame([("c", " ".join(words))], ITEMS)).collect()}
     assert set(got) == {1, 2} and got[2].exact_windows == 29 and got[1].exact_windows == 3 + 14 and got[1].similarity == 1.0
+
+
+def test_part_distance_and_items_of_any_size(spark):
+    rng = random.Random(8)
+    for _ in range(200):
+        a, t = ([rng.randrange(4) for _ in range(rng.randrange(1, n))] for n in (9, 20))
+        row = [0] * (len(t) + 1)
+        for i, x in enumerate(a, 1):
+            last = row
+            row = [i]
+            for j, y in enumerate(t, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        assert L.part_distance(a, t) == min(row)
+    words = [f"t{i}" for i in range(60)]
+    dozen = [f"other{i}" if i % 12 == 5 else w for i, w in enumerate(words)]
+    fifth = [f"other{i}" if i % 4 == 1 else w for i, w in enumerate(words)]
+    docs = [(1, " ".join(["pad"] * 50 + dozen + ["pad"] * 30)), (2, " ".join(fifth)), (3, "see SHORT task, here"), (4, "short other task here"), (5, " ".join(words[::-1]))]
+    d, e = spark.createDataFrame(docs, DOCS), spark.createDataFrame([("long", " ".join(words)), ("short", "short task here"), ("none", " ")], ITEMS)
+    got = {(r.doc_id, r.case_id): r for r in L.leaked_items(d, e).collect()}
+    assert set(got) == {(1, "long"), (3, "short")} and np.isclose(got[1, "long"].similarity, 55 / 60) and got[1, "long"].exact_windows == 0
