@@ -59,7 +59,7 @@ def shifted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in batches of eight, padded to the longest of each."""
-    s = _streams(spark, sf_dir).select("doc_id", F.slice("tokens", 1, 64).alias("tokens"))
+    s = _streams(spark, sf_dir).select("doc_id", "tokens")
     p = packing.padded(s, "doc_id", 8, {"tokens": 0})
     return p.select("doc_id", "batch", F.size("tokens").cast("bigint").alias("width"), F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("attended"))
 
