@@ -11,6 +11,8 @@ from sparkloom.operators import trajectories as tr
 from sparkloom.plans.tables import trajectories
 
 BUDGET = 1500
+#: Characters of an observation that are kept (the reference's max_observation_chars).
+OBSERVATION = 30_000
 
 
 def message_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def conversation_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     chars = lambda c: F.coalesce(F.aggregate(c, F.lit(0).cast("bigint"), lambda s, m: s + F.length(F.coalesce(m["content"], m["decision"], m["action"], F.lit("")))), F.lit(0))
     turns = F.filter("messages", lambda m: m["role"] == "assistant")
     seen = F.filter("messages", lambda m: m["role"].isin("tool", "observation"))
-    clip = F.transform(seen, lambda m: clipped(F.coalesce(m["content"], F.lit("")), 300, "[...]"))
+    clip = F.transform(seen, lambda m: clipped(F.coalesce(m["content"], F.lit("")), OBSERVATION, "[...]"))
     return t.select("traj_id", F.size("messages").cast("bigint").alias("messages"), F.size(turns).cast("bigint").alias("assistant_turns"), chars(turns).alias("learnt_chars"), F.sha2(F.array_join(clip, "\x00"), 256).alias("observations_sha256"))
 
 

@@ -1,5 +1,7 @@
 """Queries over small tables of their own, where a cut of long rows would show."""
 
+from conftest import MESSAGE, message
+
 from sparkloom.plans import catalogue
 
 
@@ -7,3 +9,11 @@ def test_padded_batches_keep_long_documents(spark, tmp_path):
     spark.createDataFrame([(0, "word " * 100), (1, "one two"), (8, "a b c")], "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in catalogue.QUERIES["padded_batches"](spark, str(tmp_path)).select("doc_id", "batch", "width", "attended").collect())
     assert got == [(0, 0, 100, 100), (1, 0, 100, 2), (8, 1, 3, 3)]
+
+
+def test_conversation_shape_sees_late_differences(spark, tmp_path):
+    texts = ["x" * 400, "x" * 399 + "y", "x" * 30_000 + "a", "x" * 30_000 + "b", "x" * 29_999 + "ya"]
+    rows = [(i, "s", [message("tool", t)], None, None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, f"traj_id BIGINT, source_id STRING, messages ARRAY<{MESSAGE}>, metadata STRING, recorded_at TIMESTAMP").write.parquet(f"{tmp_path}/trajectories.parquet")
+    got = {r.traj_id: r.observations_sha256 for r in catalogue.QUERIES["conversation_shape"](spark, str(tmp_path)).collect()}
+    assert got[0] != got[1] and got[2] == got[3] != got[4]
