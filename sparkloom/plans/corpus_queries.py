@@ -150,7 +150,7 @@ def license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest over all regular files of each source."""
-    return corpus.folded_digest(files(spark, sf_dir).where("is_regular AND content IS NOT NULL"), "source_id", "path", "content", 8000)
+    return corpus.folded_digest(files(spark, sf_dir).where("is_regular AND content IS NOT NULL"), "source_id", "path", "content")
 
 
 def split_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

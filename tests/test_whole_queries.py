@@ -2,6 +2,7 @@
 
 from conftest import MESSAGE, message
 
+from sparkloom.operators import corpus
 from sparkloom.plans import catalogue
 
 
@@ -17,3 +18,14 @@ def test_conversation_shape_sees_late_differences(spark, tmp_path):
     spark.createDataFrame(rows, f"traj_id BIGINT, source_id STRING, messages ARRAY<{MESSAGE}>, metadata STRING, recorded_at TIMESTAMP").write.parquet(f"{tmp_path}/trajectories.parquet")
     got = {r.traj_id: r.observations_sha256 for r in catalogue.QUERIES["conversation_shape"](spark, str(tmp_path)).collect()}
     assert got[0] != got[1] and got[2] == got[3] != got[4]
+
+
+FILE = "source_id STRING, path STRING, content STRING, is_regular BOOLEAN, scanned_at TIMESTAMP"
+
+
+def test_source_digests_see_changes_in_large_files(spark, tmp_path):
+    rows = [(s, "f", c, True, None) for s, c in (("a", "x" * 9000), ("b", "x" * 8999 + "y"), ("c", "x" * 1_000_001), ("d", "y" * 1_000_001))]
+    spark.createDataFrame(rows, FILE).write.parquet(f"{tmp_path}/tracked_files.parquet")
+    got = {r.source_id: r.digest for r in catalogue.QUERIES["source_digests"](spark, str(tmp_path)).collect()}
+    assert got["a"] != got["b"] and got["c"] == got["d"]
+    assert len({r.digest for r in corpus.folded_digest(spark.createDataFrame([("a", "f", "12345"), ("b", "f", "12346")], "s STRING, p STRING, c STRING"), "s", "p", "c", 4).collect()}) == 1
