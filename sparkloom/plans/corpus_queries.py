@@ -126,7 +126,7 @@ def line_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def children(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = table(spark, sf_dir, "tracked_files").select("source_id", "path").distinct()
-    return workspace.list_children(f, ".", "source_id", limit=5)
+    return workspace.list_children(f, ".", "source_id")
 
 
 def line_slices(spark: SparkSession, sf_dir: str) -> DataFrame:

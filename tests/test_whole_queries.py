@@ -29,3 +29,9 @@ def test_source_digests_see_changes_in_large_files(spark, tmp_path):
     got = {r.source_id: r.digest for r in catalogue.QUERIES["source_digests"](spark, str(tmp_path)).collect()}
     assert got["a"] != got["b"] and got["c"] == got["d"]
     assert len({r.digest for r in corpus.folded_digest(spark.createDataFrame([("a", "f", "12345"), ("b", "f", "12346")], "s STRING, p STRING, c STRING"), "s", "p", "c", 4).collect()}) == 1
+
+
+def test_children_lists_whole_folders(spark, tmp_path):
+    spark.createDataFrame([("s", f"f{i:03}.py", "", True, None) for i in range(30)], FILE).write.parquet(f"{tmp_path}/tracked_files.parquet")
+    got = catalogue.QUERIES["children"](spark, str(tmp_path)).collect()
+    assert len(got) == 30 and not any(r.truncated for r in got)
