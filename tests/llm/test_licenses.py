@@ -17,7 +17,33 @@ def test_names():
     assert L.named_licenses("Wir gehen mit dem Hund; GPL is discussed", exact=True) == set()
 
 
+EXPRESSIONS = {
+    "AGPL-3.0-only": ({"AGPL-3.0-only"}, "AGPL-3.0-only"), "GPL-2.0-only": ({"GPL-2.0-only"}, "GPL-2.0-only"), "EUPL-1.2": ({"EUPL-1.2"}, "EUPL-1.2"), "BSL-1.0": ({"BSL-1.0"}, "BSL-1.0"), "Unlicense": ({"Unlicense"}, "Unlicense"),
+    "LGPL-3.0-or-later": ({"LGPL-3.0-or-later"}, "LGPL-3.0-or-later"), "GNU Affero General Public License v3.0": ({"AGPL-3.0-only"}, "AGPL-3.0-only"), "GPLv2 or later": ({"GPL-2.0-or-later"}, "GPL-2.0-or-later"),
+    "(MIT AND GPL-2.0-only) OR CC0-1.0": ({"MIT", "GPL-2.0-only", "CC0-1.0"}, "MIT AND GPL-2.0-only OR CC0-1.0"), "bsd-3-clause and (mit or isc)": ({"BSD-3-Clause", "MIT", "ISC"}, "BSD-3-Clause AND (MIT OR ISC)"),
+    "GPL-2.0+ WITH Classpath-exception-2.0": ({"GPL-2.0-or-later"}, "GPL-2.0-or-later WITH Classpath-exception-2.0"), "MIT/Apache-2.0": ({"MIT", "Apache-2.0"}, "MIT OR Apache-2.0"), "LicenseRef-own": ({"LicenseRef-own"}, "LicenseRef-own"),
+    "Some-New-1.3": ({"Some-New-1.3"}, "Some-New-1.3"), "NONE": (set(), None), "Proprietary": (set(), None), "MIT OR": ({"MIT"}, "MIT"), ")(": (set(), None), "(" * 50_000 + "MIT": ({"MIT"}, "MIT"), "": (set(), None), None: (set(), None),
+}
+
+
+def test_expressions():
+    for text, (names, form) in EXPRESSIONS.items():
+        assert (L.expression_licenses(text), L.expression_form(text)) == (names, form), str(text)[:50]
+
+
+POM = "<project><dependencies><license><name>GPL v2</name></license></dependencies><licenses>\n<license>\n<name>The Apache License 2.0</name>\n</license></licenses></project>"
+GPL = "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nUse with the GNU Affero General Public License, version 3, or see the GNU Lesser General Public License version 2.1."
 STATED = [
+    ("a.c", "/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", {"GPL-2.0-only"}),
+    ("a.c", "// SPDX-License-Identifier: FooBar\n", {"FooBar"}),
+    ("pom.xml", POM, {"Apache-2.0"}),
+    ("setup.py", "setup(\n    name='x',\n    license='MIT',\n    classifiers=['License :: OSI Approved :: BSD 3-Clause'])", {"MIT", "BSD-3-Clause"}),
+    ("setup.cfg", "[metadata]\nlicense = EPL-2.0\n", {"EPL-2.0"}),
+    ("x.gemspec", "  s.licenses = ['MIT', 'Ruby']\n", {"MIT", "Ruby"}),
+    ("pyproject.toml", "[project]\nlicense = {text = 'MIT'}\n[tool.x]\nlicense = 'ISC'\n", {"MIT"}),
+    ("LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the 'Software')", {"MIT"}),
+    ("LICENSE", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted ... Neither the name of x", {"BSD-3-Clause"}),
+    ("COPYING", GPL, {"GPL-3.0-only"}),
     ("a.py", "#!/usr/bin/env python\n# SPDX-License-Identifier: MIT\n", {"MIT"}),
     ("a.c", "/*\n * spdx-license-identifier:(MIT OR Apache-2.0)\n */\n", {"MIT", "Apache-2.0"}),
     ("a.md", "<!-- SPDX-License-Identifier: ISC -->\n", {"ISC"}),
@@ -74,6 +100,16 @@ def test_verdicts_and_inheritance(spark):
         assert {k: v for k, v in got.items() if v != "known"} == {("a", "x.py"): "conflict", ("a", "third/LICENSE"): "conflict", ("d", "x.py"): "unknown", ("d", "z.py"): "unknown", ("gone", "x.py"): "unknown"} and ("a", "l") not in got
         eff = {(r.source_id, r.path): (r.licenses, r.origin, r.from_path) for r in L.effective_licenses(st, repo).collect()}
         assert eff["a", "third/deep/z.py"] == (["ISC"], "ancestor", "third/LICENSE") and eff["a", "y.py"] == (["MIT"], "ancestor", "LICENSE") and eff["a", "x.py"] == (["ISC"], "own", None) and eff["d", "x.py"] == ([], "none", None) and len(eff) == len(got)
+        near = {(r.source_id, r.path): r.nearest_verdict for r in L.effective_licenses(st, repo).collect()}
+        assert near["a", "third/deep/z.py"] == "conflict" and near["a", "y.py"] == "known" and near["d", "x.py"] == "unknown"
+
+
+def test_other_license_contradicts(spark):
+    s, f = tables(spark)
+    tagged = spark.createDataFrame([("a", "t.c", b"// SPDX-License-Identifier: GPL-2.0-only\n", True)], FILES)
+    st = L.file_statements(f.union(tagged))
+    got = {(r.source_id, r.path): r.verdict for r in L.file_verdicts(st, L.repository_licenses(s, st)).collect()}
+    assert got["a", "t.c"] == "conflict"
 
 
 def test_empty(spark):
