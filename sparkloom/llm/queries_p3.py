@@ -19,9 +19,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every affected text, masked: number of secrets, length and digest of the masked text."""
+    """Every affected text, masked: number of secrets, bytes and digest of the masked text."""
     found = secrets.scan_texts(_texts(spark, sf_dir))
-    return found.select("origin", "record_key", "pos", "secrets", F.length("redacted").alias("chars"), F.sha2("redacted", 256).alias("redacted_sha256")).distinct()
+    return found.select("origin", "record_key", "pos", "secrets", F.octet_length("redacted").cast("bigint").alias("bytes"), F.sha2("redacted", 256).alias("redacted_sha256")).distinct()
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
