@@ -1,10 +1,11 @@
 """Problem 7: visually identical text stored with different characters.
 
-``canonical_form`` is compatibility normalisation (composed), full case folding, one kind of space and no
-default-ignorable characters, with look-alike letters of other scripts replaced by Latin ones. ``look_form`` is the finer
+``Forms.canonical`` is compatibility normalisation (composed), full case folding, one kind of space and of line end and no
+default-ignorable characters, with look-alike letters of other scripts replaced by Latin ones: a fixed table for Greek and
+Cyrillic, the published confusables data that Spark's Unicode library carries for all others. ``Forms.look`` is the finer
 form in which two texts are equal exactly when they look the same: it keeps case, superscripts and ligature-free letters
 apart. Both are pure functions of one text; ``with_canonical`` applies them to a column, once for each distinct value of
-an Arrow batch, without a shuffle.
+an Arrow batch, without a shuffle. Quotation marks and dashes of different shapes look different and stay.
 
 Defined results: null text gives null; empty, blank or ignorable-only text gives an empty form after stripping and belongs
 to no class; line ends are kept as they are; texts of any length are processed whole.
@@ -15,11 +16,12 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,14 +35,14 @@ IGNORABLE_RANGES = (
 )
 # Letters of other scripts that are drawn like a Latin letter, and hyphens drawn like the ASCII one.
 LOOKALIKES = {
-    # Cyrillic, small
+    # Cyrillic and Latin, small
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h",
     "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "ү": "y", "ɡ": "g", "ᴏ": "o", "ı": "i",
     # Cyrillic, capital
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y",
     "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ԍ": "G", "Ӏ": "I",
     # Greek
-    "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "ϲ": "c", "ϳ": "j", "υ": "u", "Α": "A", "Β": "B", "Ε": "E",
+    "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J", "υ": "u", "Α": "A", "Β": "B", "Ε": "E",
     "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     # hyphens
     "‐": "-", "‑": "-", "˗": "-",
@@ -63,11 +65,6 @@ def _drops_and_spaces() -> dict[int, str | None]:
     return _ignorable() | _spaces()
 
 
-@lru_cache(maxsize=1)
-def _latin() -> dict[int, str]:
-    return {ord(k): v for k, v in LOOKALIKES.items()}
-
-
 @lru_cache(maxsize=1)
 def _look() -> dict[int, str]:
     """Full-width, half-width and Latin ligature forms, drawn as the ordinary characters; no other compatibility mapping."""
@@ -79,23 +76,12 @@ def _look() -> dict[int, str]:
     return found
 
 
-def _one_script(text: str) -> str:
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_latin()))
-
-
 #: A run of other than ASCII characters with the ASCII one before it: marks compose with what stands before them, never
 #: with what follows, so runs can be mapped one by one and remembered.
 _RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
-
-
-def _canonical_run(run: str) -> str:
-    run = unicodedata.normalize("NFKC", run.translate(_drops_and_spaces()))
-    run = _one_script(run.translate(_drops_and_spaces())).casefold()
-    return unicodedata.normalize("NFKC", run).translate(_drops_and_spaces())
-
-
-def _look_run(run: str) -> str:
-    return _one_script(run.translate(_drops_and_spaces()).translate(_look()).translate(_drops_and_spaces()))
+#: In the canonical form other line separators are line ends, and a tab is a space; in the look form they stay.
+_LINES = {0x85: "\n", 0x2028: "\n", 0x2029: "\n"}
+_ASCII_SPACES = (("\t", " "), ("\x0b", "\n"), ("\x0c", "\n"))
 
 
 class _Remembered(dict):
@@ -114,21 +100,69 @@ class _Remembered(dict):
         return form
 
 
-_canonical_runs, _look_runs = _Remembered(_canonical_run), _Remembered(_look_run)
+class Forms:
+    """The two forms of texts, with ``more`` look-alike letters (letter -> the one it is drawn like) besides the fixed ones."""
+
+    def __init__(self, more: dict[str, str] | None = None):
+        self.more = dict(more or {})
+        self.latin = {ord(k): v for k, v in {**self.more, **LOOKALIKES}.items()}
+        self._canonical_runs, self._look_runs = _Remembered(self._canonical_run), _Remembered(self._look_run)
+
+    def __reduce__(self):
+        return _forms, (tuple(sorted(self.more.items())),)
 
+    def _one_script(self, text: str) -> str:
+        return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(self.latin))
 
-def canonical_form(text: str) -> str:
-    """The form in which texts that look the same are equal (texts that differ only by case or superscripts are, too)."""
-    if text.isascii():
+    def _canonical_run(self, run: str) -> str:
+        run = unicodedata.normalize("NFKC", run.translate(_drops_and_spaces()).translate(_LINES).translate(self.latin))
+        run = self._one_script(run.translate(_drops_and_spaces())).casefold()
+        return unicodedata.normalize("NFKC", run).translate(_drops_and_spaces())
+
+    def _look_run(self, run: str) -> str:
+        return self._one_script(run.translate(_drops_and_spaces()).translate(_look()).translate(_drops_and_spaces()))
+
+    def canonical(self, text: str) -> str:
+        """The form in which texts that look the same are equal (texts that differ only by case or superscripts are, too)."""
+        if not text.isascii():
+            text = _RUN.sub(lambda m: self._canonical_runs[m[0]], text)
+        for kind, plain in _ASCII_SPACES:
+            if kind in text:
+                text = text.replace(kind, plain)
         return text.lower()
-    return _RUN.sub(lambda m: _canonical_runs[m[0]], text).lower()
+
+    def look(self, text: str) -> str:
+        """The form in which two texts are equal exactly when they are drawn alike: case, accents, digits and line ends count."""
+        if text.isascii():
+            return text
+        return _RUN.sub(lambda m: self._look_runs[m[0]], text)
+
+
+@lru_cache(maxsize=4)
+def _forms(more: tuple[tuple[str, str], ...]) -> Forms:
+    return Forms(dict(more))
+
+
+#: The forms by the fixed letters alone, for use without a session.
+canonical_form, look_form = _forms(()).canonical, _forms(()).look
+
+
+@lru_cache(maxsize=1)
+def confusable_letters(spark: SparkSession) -> tuple[tuple[str, str], ...]:
+    """(letter, ASCII letter) of the published confusables data that Spark's own Unicode library carries: letters outside the
+    Greek and Cyrillic blocks, which the fixed table covers letter by letter, and without a compatibility decomposition
+    (bold or script letters do not look the same). One string of some 60,000 letters goes through the JVM once."""
+    letters = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c)[0] == "L" and not 0x370 <= ord(c) < 0x530 and not unicodedata.decomposition(c)]
+    try:
+        skeleton = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+    except Exception as e:  # a session without a JVM of its own
+        warnings.warn(f"no confusables data, only the fixed letters are used: {e}", stacklevel=2)
+        return ()
+    return tuple((c, s) for c, s in zip(letters, skeleton) if len(s) == 1 and s.isascii() and s.isalpha())
 
 
-def look_form(text: str) -> str:
-    """The form in which two texts are equal exactly when they are drawn alike: case, accents, digits and line ends count."""
-    if text.isascii():
-        return text
-    return _RUN.sub(lambda m: _look_runs[m[0]], text)
+def forms_for(spark: SparkSession) -> Forms:
+    return _forms(tuple(sorted(confusable_letters(spark))))
 
 
 def is_blank(form: str) -> bool:
@@ -150,10 +184,11 @@ def with_canonical(df: DataFrame, text_col: str = "text", out_col: str = "canoni
     """``df`` with the canonical form of ``text_col`` in ``out_col`` (an existing column of that name is replaced)."""
     keep = [c for c in df.columns if c != out_col]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out_col, T.StringType())])
+    forms = forms_for(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            form = _per_value(b.column(keep.index(text_col)), canonical_form, pa.string())
+            form = _per_value(b.column(keep.index(text_col)), forms.canonical, pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, form], [*keep, out_col])
 
     return df.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
@@ -165,12 +200,13 @@ def canonical_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Only the digests leave the task, so whatever follows shuffles 56 bytes a document, not texts.
     """
     schema = "id BIGINT, canonical_key BINARY, look_key BINARY, raw_key BINARY, changed BOOLEAN"
+    forms = forms_for(df.sparkSession)
 
     def keys(text: str) -> dict | None:
-        look = look_form(text)
+        look = forms.look(text)
         if is_blank(look):
             return None
-        form, raw = canonical_form(text), _digest(text)
+        form, raw = forms.canonical(text), _digest(text)
         return {"c": _digest(form), "l": raw if look == text else _digest(look), "r": raw, "x": form != text}
 
     kind = pa.struct([("c", pa.binary()), ("l", pa.binary()), ("r", pa.binary()), ("x", pa.bool_())])
@@ -185,11 +221,12 @@ def canonical_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, schema)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, spread_by: str, buckets: int = 32) -> DataFrame:
-    """Inner join on one column that may be hot in ``big``: its rows are spread over buckets by ``spread_by``, and the rows
+def salted_join(big: DataFrame, small: DataFrame, on: str | list[str], spread_by: str, buckets: int = 32) -> DataFrame:
+    """Inner join on columns that may be hot in ``big``: its rows are spread over buckets by ``spread_by``, and the rows
     of ``small`` are there in each."""
+    keys = [on] if isinstance(on, str) else list(on)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(buckets)).cast("int"))
-    return left.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))), [on, "_salt"]).drop("_salt")
+    return left.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))), [*keys, "_salt"]).drop("_salt")
 
 
 def canonical_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

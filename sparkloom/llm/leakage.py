@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.canonical import canonical_form
+from sparkloom.llm.canonical import canonical_form, forms_for
 from sparkloom.llm.words import WordHashes, shingles, split_words
 
 SCHEMA = "doc_id BIGINT, case_id STRING, windows BIGINT, exact_windows BIGINT, similarity DOUBLE"
@@ -63,11 +63,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class ItemIndex:
     """Windows of the items of one pass, with a bucket table for each block of the fingerprint."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int, radius: int):
+    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int, radius: int, form=canonical_form):
         self.window, self.shingle, self.radius = window, shingle, radius
         cache, words, marks, owner, prints = WordHashes(), [], [], [], []
         for i, (_, text) in enumerate(items):
-            h = cache.of(split_words(canonical_form(text)))
+            h = cache.of(split_words(form(text)))
             s = shingles(h, shingle)
             p = fingerprints(s, window - shingle + 1)
             if len(p):
@@ -79,7 +79,15 @@ class ItemIndex:
         self.size = sum(map(len, prints))
         if not self.size:
             return
-        self.words, self.marks, self.owner, self.prints = map(np.concatenate, (words, marks, owner, prints))
+        self.words, self.marks, owner, self.prints = map(np.concatenate, (words, marks, owner, prints))
+        # windows that several items hold are looked up once; their items stand one after the other
+        _, first, back = np.unique(self.words, axis=0, return_index=True, return_inverse=True)
+        back = back.ravel()
+        order = np.lexsort((owner, back))
+        pairs = np.unique(np.stack([back[order], owner[order]], 1), axis=0)
+        self.words, self.marks, self.prints = self.words[first], self.marks[first], self.prints[first]
+        self.owner, self.owners = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.size = len(first)
         edges = [64 * k // (radius + 1) for k in range(radius + 2)]
         self.blocks = []
         for lo, hi in zip(edges, edges[1:]):
@@ -138,11 +146,11 @@ def part_distance(item: list, text: list) -> int:
 class NearIndex:
     """Blocks of the items of one pass: of an item of n words, one more than the edits that ``least`` allows."""
 
-    def __init__(self, items: list[tuple[str, str]], least: float):
+    def __init__(self, items: list[tuple[str, str]], least: float, form=canonical_form):
         self.ids, self.words, self.edits, rows = [i for i, _ in items], [], [], []
         part, cache = 1 - Fraction(str(least)), WordHashes()
         for i, (_, text) in enumerate(items):
-            h = cache.of(split_words(canonical_form(text)))
+            h = cache.of(split_words(form(text)))
             d = int(part * len(h))
             self.words.append(h)
             self.edits.append(d)
@@ -222,8 +230,11 @@ def scan(index: ItemIndex, least: float, ids: list, rows: list, chunk: int = 1 <
         keep = sim >= least
         at, to, sim = at[keep], to[keep], sim[keep]
         same = (h[at[:, None] + np.arange(index.window)] == index.words[to]).all(1)
+        n = index.owners[to + 1] - index.owners[to]
+        row = np.repeat(np.arange(len(to)), n)
+        owner = index.owner[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.owners[to], n)]
         groups: dict = {}
-        for a, k, x, e in zip(d[at].tolist(), index.owner[to].tolist(), sim.tolist(), same.tolist()):
+        for a, k, x, e in zip(d[at][row].tolist(), owner.tolist(), sim[row].tolist(), same[row].tolist()):
             g = groups.setdefault((a, k), [0, 0, 0.0])
             g[0] += 1
             g[1] += e
@@ -256,6 +267,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_i
     similarity (the best).
     """
     spark = documents.sparkSession
+    forms = forms_for(spark)
     wanted = items.select(F.col(f"`{item_id}`").cast("string").alias("case_id"), F.col(f"`{item_text}`").alias("task")).where("case_id IS NOT NULL AND task IS NOT NULL").distinct()
     size = wanted.agg(F.sum(F.size(F.split("task", r"\s+")) + F.length("task") / 8)).first()[0] or 0
     passes = max(1, -(-int(size) // windows_per_pass))
@@ -263,13 +275,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, id_col: str = "doc_i
     found = None
     for n in range(passes):
         part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("case_id"), F.lit(passes)) == n)
-        index = spark.sparkContext.broadcast((ItemIndex(rows := [(r[0], r[1]) for r in part.toLocalIterator()], window, shingle, radius), NearIndex(rows if near else [], least)))
+        index = spark.sparkContext.broadcast((ItemIndex(rows := [(r[0], r[1]) for r in part.toLocalIterator()], window, shingle, radius, forms.canonical), NearIndex(rows if near else [], least, forms.canonical)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
             windows, whole = index.value
             for b in batches:
-                ids, words = b.column(0).to_pylist(), [cache.of(split_words(canonical_form(t))) for t in b.column(1).to_pylist()]
+                ids, words = b.column(0).to_pylist(), [cache.of(split_words(forms.canonical(t))) for t in b.column(1).to_pylist()]
                 rows = list(scan(windows, least, ids, words)) if windows.size else []
                 rows += near_scan(whole, ids, words) if whole.tables else []
                 if rows:

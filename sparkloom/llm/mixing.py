@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import math
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,19 +41,18 @@ def encoding(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A place where every tokenization by ``PATTERN`` has a boundary: one blank or line end between two visible characters.
+_BOUNDARY = re.compile(r"(?<=\S)[ \n](?=\S)")
+
+
 def count_tokens(encode, text: str, piece: int = 1 << 16) -> int:
-    """Tokens of ``text``; very long texts are cut at line ends, and at a fixed length where a line is longer still."""
-    if len(text) <= piece:
-        return len(encode(text))
+    """Tokens of the whole ``text``. Long texts are encoded in pieces of at least ``piece`` characters that end where the
+    splitting pattern has a boundary, so the count is that of the text in one piece."""
     total = start = 0
-    while start < len(text):
-        end = min(len(text), start + piece)
-        if end < len(text):
-            cut = text.rfind("\n", start, end)
-            end = cut if cut > start else end
-        total += len(encode(text[start:end]))
-        start = end
-    return total
+    while len(text) - start > piece and (m := _BOUNDARY.search(text, start + piece)):
+        total += len(encode(text[start : m.start()]))
+        start = m.start()
+    return total + len(encode(text[start:]))
 
 
 def feed_key(column: str) -> F.Column:
@@ -103,7 +103,8 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row for each feed of ``targets``: tokens, the share it can and does reach, and the passes over its documents.
 
     ``sizes`` has feed and tokens (see ``token_sizes``); the total is the tokens of all listed feeds. Only sums by feed
-    reach the driver, one row for each target.
+    reach the driver, one row for each target. A feed is reachable if the allocation gives it its share of the total, that is
+    unless it was clamped below (shares that add up to more than one are taken in proportion).
 
     Columns: feed, source, target_share, max_repeats, tokens, target_tokens, cap_tokens, reachable, mixed_tokens,
     repeats (passes, a fraction), actual_share.
@@ -119,8 +120,10 @@ def mix_plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     caps = [float(r.tokens * r.cap) for r in rows]
     mixed = water_fill([r.share for r in rows], caps, float(total))
     whole = math.fsum(mixed)
+    shares = math.fsum(r.share for r in rows)
+    wanted_of = lambda r: r.share * total / max(shares, 1.0)
     out = [
-        (r.feed, r.source, r.share, r.cap, r.tokens, r.share * total, cap, cap >= r.share * total * (1 - 1e-12) and (cap > 0 or r.share == 0), m, m / r.tokens if r.tokens else 0.0, m / whole if whole else 0.0)
+        (r.feed, r.source, r.share, r.cap, r.tokens, r.share * total, cap, m >= wanted_of(r) * (1 - 1e-9) and (m > 0 or r.share == 0), m, m / r.tokens if r.tokens else 0.0, m / whole if whole else 0.0)
         for r, cap, m in zip(rows, caps, mixed)
     ]
     return spark.createDataFrame(out, "feed STRING, source STRING, target_share DOUBLE, max_repeats INT, tokens BIGINT, target_tokens DOUBLE, cap_tokens DOUBLE, reachable BOOLEAN, mixed_tokens DOUBLE, repeats DOUBLE, actual_share DOUBLE")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.canonical import salted_join
 from sparkloom.llm.grouping import assigned_splits
 from sparkloom.llm.words import WordHashes, mix, shingles, split_words
 from sparkloom.operators.lineage import cut
@@ -40,8 +41,6 @@ HOT_LIST = 100_000
 BROADCAST_SOURCES = 200_000
 #: Up to so many ids (of collapsed copies, of candidates) are sent to the executors; beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Records of more words are aligned piece by piece between the seeds of their chain.
-PIECEWISE = 20_000
 #: Counters of hashed words in the sketch of a record, a byte each.
 SKETCH = 32
 #: Up to so many pairs of equal seeds of two records are all chained; beyond, the nth of one with the nth of the other.
@@ -347,21 +346,6 @@ def word_distance(a: list, b: list, limit: int) -> int:
     return score
 
 
-def distance(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int, int]], limit: int) -> int:
-    """Word edit distance. Records longer than ``PIECEWISE`` are aligned between the anchors of their chain, which gives
-    the length of an alignment through them, never less than the distance."""
-    if max(len(a), len(b)) <= PIECEWISE:
-        return word_distance(a.tolist(), b.tolist(), limit)
-    total = pa_ = pb_ = 0
-    for x, y, k in anchors:
-        if x >= pa_ and y >= pb_:
-            total += word_distance(a[pa_:x].tolist(), b[pb_:y].tolist(), limit)
-            pa_, pb_ = x + k, y + k
-            if total > limit:
-                return total
-    return total + word_distance(a[pa_:].tolist(), b[pb_:].tolist(), limit)
-
-
 def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(train_rep, held_rep, similarity, covered) of all pairs of representatives whose similarity is above ``least``."""
     bounds, docs_t, docs_h = Bounds(least), docs.where("train"), docs.where("NOT train")
@@ -404,10 +388,9 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
                 limit = bounds.edits(n)
                 if word_bound(u, v) > limit:
                     continue
-                line = chain(common_seeds(u, v)) if n > PIECEWISE else []
-                d = distance(u, v, line, limit)
+                d = word_distance(u.tolist(), v.tolist(), limit)
                 if d <= limit:
-                    rows.append((x, y, 1 - d / n, covered(line or chain(common_seeds(u, v))) / n))
+                    rows.append((x, y, 1 - d / n, covered(chain(common_seeds(u, v))) / n))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["train_rep", "held_rep", "similarity", "covered"])
 
@@ -415,21 +398,45 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     return both.mapInArrow(aligned, "train_rep BIGINT, held_rep BIGINT, similarity DOUBLE, covered DOUBLE")
 
 
-def overlaps(records: DataFrame, resolved: DataFrame, *, id_col: str = "traj_id", source_col: str = "source_id", messages_col: str = "messages", least: float = 0.8) -> DataFrame:
-    """One row for each training record and held-out record of similarity above ``least``.
-
-    Columns: train_id, train_source, held_id, held_source, held_split, similarity, covered (part of the words that chained
-    seeds cover).
-    """
+def representatives(records: DataFrame, resolved: DataFrame, *, id_col: str = "traj_id", source_col: str = "source_id", messages_col: str = "messages", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(pairs of representatives, members): near pairs between the least ids of records with the same words on each side, and
+    record_id, train, source_id, split and rep of every record."""
     src = records.select(F.col(f"`{id_col}`").cast("bigint").alias("record_id"), F.col(f"`{source_col}`").alias("source_id"), record_text(messages_col).alias("text")).where("record_id IS NOT NULL AND source_id IS NOT NULL")
     words = cut(hashed_words(sided(src, resolved)))
     members = words.select("key", "train", "record_id", "source_id", "split").distinct()
     reps = members.groupBy("key", "train").agg(F.min("record_id").alias("rep"))
-    of_rep = cut(members.join(reps, ["key", "train"]).select("record_id", "train", "source_id", "split", "rep"))
+    of_rep = cut(salted_join(members, reps, ["key", "train"], "record_id").select("record_id", "train", "source_id", "split", "rep"))
     copies = of_rep.where("record_id <> rep").select("record_id", "train").distinct()
     docs = words.select("record_id", "train", "n", "words").join(small(copies), ["record_id", "train"], "left_anti")
-    pairs = near_pairs(docs, least)
+    return near_pairs(docs, least), of_rep
+
+
+def overlaps(records: DataFrame, resolved: DataFrame, **columns) -> DataFrame:
+    """One row for each training record and held-out record of similarity above ``least`` (for ``columns`` see
+    ``representatives``).
+
+    Columns: train_id, train_source, held_id, held_source, held_split, similarity, covered (part of the words that chained
+    seeds cover).
+    """
+    pairs, of_rep = representatives(records, resolved, **columns)
     t = of_rep.where("train").select(F.col("rep").alias("train_rep"), F.col("record_id").alias("train_id"), F.col("source_id").alias("train_source"))
     h = of_rep.where("NOT train").select(F.col("rep").alias("held_rep"), F.col("record_id").alias("held_id"), F.col("source_id").alias("held_source"), F.col("split").alias("held_split"))
     out = pairs.join(t, "train_rep").join(h, "held_rep").where("train_id <> held_id")
     return out.groupBy("train_id", "train_source", "held_id", "held_source", "held_split").agg(F.max("similarity").alias("similarity"), F.max("covered").alias("covered"))
+
+
+def held_coverage(records: DataFrame, resolved: DataFrame, **columns) -> DataFrame:
+    """One row for each held-out record that occurs in training: held_id, held_source, held_split, partners (training records),
+    similarity (the mean over them), best_similarity, covered (the largest part of its words that chained seeds cover).
+
+    Counted at representatives: pairs of copies are never written out. A record that is on both sides is no partner of its own.
+    """
+    pairs, of_rep = representatives(records, resolved, **columns)
+    t, h = of_rep.where("train"), of_rep.where("NOT train")
+    size = t.groupBy(F.col("rep").alias("train_rep")).agg(F.countDistinct("record_id").alias("n"))
+    best = pairs.join(size, "train_rep").groupBy("held_rep").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("similarity")).alias("s"), F.max("similarity").alias("best_similarity"), F.max("covered").alias("covered"))
+    own = t.select("record_id").distinct().withColumn("own", F.lit(1))
+    rows = salted_join(h.withColumnRenamed("rep", "held_rep"), best, "held_rep", "record_id").join(own, "record_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    partners = F.col("n") - F.col("own")
+    out = rows.where(partners > 0)
+    return out.select(F.col("record_id").alias("held_id"), F.col("source_id").alias("held_source"), F.col("split").alias("held_split"), partners.alias("partners"), ((F.col("s") - F.col("own")) / partners).alias("similarity"), "best_similarity", "covered").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.overlap import overlaps
+from sparkloom.llm.overlap import held_coverage, overlaps
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,11 +23,24 @@ def p1_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("train_id", "train_source", "held_id", "held_source", "held_split", F.round("similarity", 6).alias("similarity"), F.round("covered", 6).alias("covered"))
 
 
+def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_coverage(spark.read.parquet(f"{sf_dir}/trajectories.parquet"), spark.read.parquet(f"{sf_dir}/resolved_sources.parquet"))
+
+
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per held-out record that occurs in training: its training partners, similarity and the part of its words covered."""
+    out = _coverage(spark, sf_dir)
+    return out.select("held_id", "held_source", "held_split", "partners", *(F.round(c, 6).alias(c) for c in ("similarity", "best_similarity", "covered")))
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split and source of the held-out side: its records that occur in the training split, and pairs."""
-    out = _overlaps(spark, sf_dir)
-    return out.groupBy("held_split", "held_source").agg(F.count("*").alias("pairs"), F.countDistinct("held_id").alias("held_records"), F.countDistinct("train_id").alias("train_records"), F.round(F.avg("similarity"), 6).alias("mean_similarity"))
+    """Per split and source of the held-out side: its records that occur in the training split, pairs, mean similarity and
+    mean coverage of these records."""
+    out = _coverage(spark, sf_dir).groupBy("held_split", "held_source").agg(
+        F.sum("partners").alias("pairs"), F.count("*").alias("held_records"), F.round(F.sum(F.col("similarity") * F.col("partners")) / F.sum("partners"), 6).alias("mean_similarity"), F.round(F.avg("covered"), 6).alias("mean_coverage")
+    )
+    return out
 
 
-QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_report": p1_report}
+QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps, "p1_coverage": p1_coverage, "p1_report": p1_report}
 SQL: dict[str, str] = {}

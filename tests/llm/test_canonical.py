@@ -24,11 +24,23 @@ def test_forms_are_stable_and_whole():
         t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
         assert C.canonical_form(C.canonical_form(t)) == C.canonical_form(t)
         assert C.look_form(C.look_form(t)) == C.look_form(t)
-        assert C.look_form(t) == C._look_run(t)  # mapping run by run equals mapping the whole text
+        assert C.look_form(t) == C.Forms()._look_run(t)  # mapping run by run equals mapping the whole text
     long = ("а" * 50 + "x ") * 20_000
     assert C.canonical_form(long) == ("a" * 50 + "x ") * 20_000
 
 
+def test_confusables_of_other_scripts(spark):
+    forms = C.forms_for(spark)
+    for letter, latin in {"օ": "o", "Ꭺ": "A", "ꓐ": "B", "ᴄ": "c", "Ϲ": "C", "ɑ": "a", "ꭇ": "r"}.items():
+        assert forms.look(f"x{letter}y") == f"x{latin}y" and forms.canonical(letter) == latin.lower(), letter
+    for kept in ("г", "σ", "𝐀", "’", "—", "é", "l1I0O"):
+        assert forms.look(kept) == kept
+    assert forms.canonical("a\tb\u2028c\x85d") == "a b\nc\nd" and forms.look("a\u2028b") != forms.look("a\nb")
+    import pickle
+
+    assert pickle.loads(pickle.dumps(forms.look))("օ") == "o"
+
+
 def frame(spark, texts, extra=False):
     if extra:
         return spark.createDataFrame([(i, t, "k", "l", i) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, canonical_key STRING, id STRING, a BIGINT")

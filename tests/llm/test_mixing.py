@@ -44,3 +44,24 @@ def test_sizes(spark):
     encode = M.encoding(os.path.join(M.TOKENIZER_DIR, M.VOCABULARY)).encode_ordinary
     assert got[5][1] == len(encode("x y\n" * 60_000))
     assert M.count_tokens(encode, "a" * 300_000) > 0
+
+
+def test_whole_texts_are_counted_in_pieces():
+    import os
+    import random
+
+    import pytest
+
+    path = os.path.join(M.TOKENIZER_DIR, M.VOCABULARY)
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary here")
+    encode, rng = M.encoding(path).encode_ordinary, random.Random(3)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", "\n\n", "12", "'s", "é", "—", "\t", "(x)", "\r\n"]) for _ in range(5000))
+    assert len({M.count_tokens(encode, text, n) for n in (10, 100, 1000, 1 << 20)}) == 1
+
+
+def test_reachable_comes_from_the_allocation(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 10), ("c", 890)], "feed STRING, tokens BIGINT")
+    targets = spark.createDataFrame([("a", 0.5, 4), ("b", 0.1, 10), ("c", 0.4, 1)], "source STRING, target_share DOUBLE, max_repeats INT")
+    got = {r.source: (r.reachable, r.mixed_tokens) for r in M.mix_plan(sizes, targets).collect()}
+    assert [got[x][0] for x in "abc"] == [False, True, True] and got["a"][1] == 400 and abs(got["b"][1] - 100) < 1e-6

@@ -33,15 +33,14 @@ def test_chain_rises_in_both():
     assert O.chain([]) == []
 
 
-def test_long_records_are_aligned_between_seeds():
+def test_long_records_are_aligned_exactly():
     rng = random.Random(1)
     import numpy as np
 
     a = np.array([rng.randrange(10_000) for _ in range(25_000)], np.uint32)
     b = a.copy()
     b[::50] = 77
-    anchors = [(i, i, 8) for i in range(1, 25_000 - 60, 100)]
-    assert abs(O.distance(a, b, anchors, 5000) - 500) <= 2
+    assert O.word_distance(a.tolist(), b.tolist(), 5000) == 500
 
 
 def trajectories(spark, rows):
@@ -146,3 +145,24 @@ def test_evenly_spread_differences(spark):
     df, r = trajectories(spark, rows), spark.createDataFrame([("a", "train"), ("b", "test")], RESOLVED)
     got, want = {(x.train_id, x.held_id) for x in O.overlaps(df, r).collect()}, counted(rows)
     assert got == want and len(want) == 20
+
+
+def test_coverage_counts_what_the_pairs_say(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(3)]
+    rows = []
+    for i in range(60):
+        words = list(base[i % 3])
+        if i % 4 == 0:
+            words[i % 60] = "edit"
+        rows.append((i, ("t/a", "v/a", "v/b", "both/x")[rng.randrange(4)], " ".join(words)))
+    df = trajectories(spark, rows)
+    splits = spark.createDataFrame([("t/a", "train"), ("v/a", "validation"), ("v/b", "Test "), ("both/x", "train"), ("both/x", "test")], "source_id STRING, split STRING")
+    want: dict = {}
+    for r in O.overlaps(df, splits).collect():
+        want.setdefault((r.held_id, r.held_split), []).append(r)
+    got = {(r.held_id, r.held_split): r for r in O.held_coverage(df, splits).collect()}
+    assert got.keys() == want.keys() and len(got) > 10
+    for k, rs in want.items():
+        assert got[k].partners == len({r.train_id for r in rs}) and abs(got[k].similarity - sum(r.similarity for r in rs) / len(rs)) < 1e-9
+    assert O.held_coverage(df.limit(0), splits).count() == 0
