@@ -41,21 +41,27 @@ def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else simhash_of(t)).astype("Int64")
 
 
-def simhash_native(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+#: Votes of the 64 bits are summed three to a number, 22 bits apart, which holds up to so many shingles of a document.
+LANES, LANE_BITS, LANE_MOST = 22, 22, (1 << 20) - 1
+
+
+def simhash_native(df: DataFrame, id_col: str, text_col: str, most: int = 20_000) -> DataFrame:
     """(id, simhash) by built-in functions only; the shingle hash is the first 64 bits of SHA-256.
 
-    Votes are summed per document with map-side combine: 64 counters a document, whatever its length.
+    Votes are summed per document with map-side combine: 22 counters a document, whatever its length, each with three lanes
+    (bits i, i + 22 and i + 44). ``most`` bounds the shingles of a document as in ``text.token_shingles``.
     """
-    one = df.select(F.col(id_col), F.explode(tx.token_shingles(tx.masked_tokens(text_col))).alias("s"))
-    hashed = one.select(id_col, F.unhex(F.substring(F.sha2("s", 256), 1, 16)).alias("b"))
-    value = F.conv(F.hex("b"), 16, -10).cast("bigint")
-    bits = hashed.select(id_col, value.alias("h"))
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"v{i}") for i in range(64)]
+    if not 0 < most <= LANE_MOST:
+        raise ValueError(f"most must be from 1 to {LANE_MOST}")
+    one = df.select(F.col(id_col), F.explode(tx.token_shingles(tx.masked_tokens(text_col), most=most)).alias("s"))
+    bits = one.select(id_col, F.conv(F.substring(F.sha2("s", 256), 1, 16), 16, -10).cast("bigint").alias("h"))
+    lanes = F.lit(1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS).cast("bigint")
+    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes)).alias(f"v{i}") for i in range(LANES)]
     counted = bits.groupBy(id_col).agg(F.count("*").alias("n"), *votes)
-    mask = [F.when(F.col(f"v{i}") * 2 >= F.col("n"), F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(64)]
-    total = mask[0]
-    for m in mask[1:]:
-        total = total.bitwiseOR(m)
+    total = F.lit(0).cast("bigint")
+    for bit in range(64):
+        count = F.shiftrightunsigned(f"v{bit % LANES}", LANE_BITS * (bit // LANES)).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("bigint"))
+        total = total.bitwiseOR(F.when(count * 2 >= F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     return counted.select(id_col, total.alias("simhash"))
 
 

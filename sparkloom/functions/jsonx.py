@@ -74,6 +74,20 @@ def canonical_json(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def are_json(s: pd.Series) -> pd.Series:
+    """For an array of texts, which of them are JSON as a whole (``try_parse_json`` takes a text that only begins as JSON)."""
+
+    def one(t) -> bool:
+        try:
+            json.loads(t)
+        except (TypeError, ValueError, RecursionError):
+            return False
+        return True
+
+    return s.map(lambda a: None if a is None else [one(t) for t in a], na_action=None)
+
+
 def canonical_plain(text: Column | str) -> Column:
     """Canonical form without Python, for JSON without fractions (which the variant type writes in its own way)."""
     return F.to_json(F.try_parse_json(text))

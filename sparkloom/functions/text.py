@@ -99,9 +99,11 @@ def token_shingles(words: Column, size: int = 5, most: int = 20_000) -> Column:
     return let(words, runs)
 
 
-def redact(text: Column | str, mark: str = "<REDACTED>", most: int = 50_000) -> Column:
-    """The first ``most`` characters, with secrets replaced; cutting comes first, so a cut secret may stay."""
-    c = F.substring(text, 1, most)
+def redact(text: Column | str, mark: str = "<REDACTED>", most: int | None = 50_000) -> Column:
+    """The first ``most`` characters (all, if it is None), with secrets replaced; cutting comes first, so a cut secret may
+    stay."""
+    c = F.col(text) if isinstance(text, str) else text
+    c = c if most is None else F.substring(c, 1, most)
     for p in RECORDED_SECRETS:
         c = F.regexp_replace(c, p, mark)
     return c

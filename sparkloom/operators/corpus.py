@@ -26,25 +26,37 @@ def latest(df: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 
 def latest_wide(df: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """As ``latest``, for rows with contents: only those of repeated keys are moved, all others stay in their tasks."""
+    """As ``latest``, for rows with contents: only those of repeated keys are moved, all others stay in their tasks. Of rows
+    with the same ``by``, or none, the one with the largest hash of its other columns is taken."""
     known = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
     repeated = known.select(*keys).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
     few = sized(cut(repeated))
     rest = [c for c in df.columns if c not in keys]
-    several = known.join(few, keys, "left_semi").groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(by)).alias("_m"), F.first(F.struct(*rest)).alias("_f"))
-    one = several.select(*keys, F.coalesce("_m", "_f").alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    several = known.join(few, keys, "left_semi").groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(by), F.xxhash64(*rest))).alias("_r"))
+    one = several.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
     return known.join(few, keys, "left_anti").select(*keys, *rest).union(one)
 
 
-def admit_sources(sources: DataFrame, files: DataFrame, policy: CorpusPolicy) -> DataFrame:
+def admit_sources(sources: DataFrame, files: DataFrame, policy: CorpusPolicy, checkouts: DataFrame | None = None) -> DataFrame:
     """Sources with ``reason``: the first rule that a source breaks, null if it is admitted.
 
     The license file must be one of the source's regular files: files are narrowed to the named ones before anything moves.
+    ``checkouts`` (source_id, revision, clean; see ``sources.git_tree``), if given, says what is checked out: a source must be
+    there, at the revision that it pins and, if the policy asks for it, without changes.
     """
     one = latest(sources.where("source_id IS NOT NULL"), ["source_id"], "listed_at")
     named = sized(one.where("license_file IS NOT NULL").select("source_id", F.col("license_file").alias("path")))
     held = files.where("is_regular").select("source_id", "path").join(named, ["source_id", "path"], "left_semi").select("source_id", F.col("path").alias("license_file")).distinct().withColumn("license_tracked", F.lit(True))
     joined = one.join(held, ["source_id", "license_file"], "left")
+    out_of_place = []
+    if checkouts is not None:
+        now = checkouts.select("source_id", F.col("revision").alias("_head"), F.coalesce("clean", F.lit(False)).alias("_clean")).groupBy("source_id").agg(F.max_by(F.struct("_head", "_clean"), F.struct("_clean", "_head")).alias("_now"))
+        joined = joined.join(now, "source_id", "left").select(*joined.columns, "_now._head", "_now._clean")
+        out_of_place = [
+            F.when(F.col("_head").isNull(), "no checkout"),
+            F.when(F.col("revision").isNotNull() & (F.col("revision") != F.col("_head")), "revision is not checked out"),
+            F.when(F.lit(policy.require_clean_git) & ~F.col("_clean"), "uncommitted changes"),
+        ]
     reason = F.coalesce(
         F.when(tx.strip("source_id") == "", "no source id"),
         F.when(F.coalesce(tx.strip("source_url"), F.lit("")) == "", "no source url"),
@@ -52,9 +64,10 @@ def admit_sources(sources: DataFrame, files: DataFrame, policy: CorpusPolicy) ->
         F.when(~F.coalesce(F.col("license_spdx").isin(*policy.allowed_licenses), F.lit(False)), "license not allowed"),
         F.when(F.col("license_file").isNull() | paths.is_unsafe("license_file"), "unsafe license file"),
         F.when(F.lit(policy.require_pinned_revision) & ~F.coalesce(F.col("revision").rlike(r"\A[0-9a-f]{40}\z"), F.lit(False)), "revision not pinned"),
+        *out_of_place,
         F.when(F.col("license_tracked").isNull(), "license file not tracked"),
     )
-    return joined.withColumn("reason", reason).drop("license_tracked")
+    return joined.withColumn("reason", reason).drop("license_tracked", "_head", "_clean")
 
 
 def split_score(source_id: Column | str, salt: str) -> Column:
@@ -104,10 +117,18 @@ def order_key() -> Column:
     return F.struct(F.col("source_id"), paths.parts("path").alias("parts"))
 
 
-def exact_firsts(rows: DataFrame) -> DataFrame:
-    """``rows`` (source_id, path, sha256) with first_source and first_path of the same content."""
-    first = rows.groupBy("sha256").agg(F.min(F.struct("source_id", paths.parts("path").alias("parts"), "path")).alias("f"))
-    return rows.join(first, "sha256").select(rows["*"], F.col("f.source_id").alias("first_source"), F.col("f.path").alias("first_path"))
+SALTS = 16
+
+
+def with_firsts(rows: DataFrame, key: str, first: Column, name: str, spread_by: str = "path") -> DataFrame:
+    """``rows`` with ``name``, the aggregate ``first`` over the rows of the same ``key`` (null for keys of a single row).
+
+    Only rows of repeated keys are joined with their aggregate; both sides are salted, as one content (an empty file, a
+    license text) may be that of a third of all rows.
+    """
+    several = rows.groupBy(key).agg(F.count("*").alias("_n"), first.alias(name)).where("_n > 1").drop("_n")
+    several = several.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")).join(several, [key, "_salt"], "left").drop("_salt")
 
 
 def near_keys(h: Column | str, blocks: int = 5, kept: int = 2) -> Column:
@@ -166,32 +187,37 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> D
     return found.groupBy(F.col("second").alias("simhash")).agg(F.min_by("first", "rank").alias("keeper"))
 
 
-def fingerprint_files(texts: DataFrame, near: bool = True) -> DataFrame:
-    """(source_id, path, reason, sha256, simhash) of normalized files: all that later steps need of their texts."""
-    return texts.select("source_id", "path", "reason", tx.content_sha256("text").alias("sha256"), (fingerprints.simhash("text") if near else F.lit(None).cast("bigint")).alias("simhash"))
+def fingerprint_files(texts: DataFrame, near: bool = True, native: bool = False) -> DataFrame:
+    """(source_id, path, reason, sha256, simhash) of normalized files: all that later steps need of their texts. ``native``
+    takes the shingle hashes from SHA-256 instead of BLAKE2, which built-in functions (and SQL) can compute."""
+    plain = lambda h: texts.select("source_id", "path", "reason", tx.content_sha256("text").alias("sha256"), h.alias("simhash"))
+    if not near or not native:
+        return plain(fingerprints.simhash("text") if near else F.lit(None).cast("bigint"))
+    keyed = cut(texts.select(F.struct("source_id", "path").alias("k"), "text", "reason"))
+    prints = fingerprints.simhash_native(keyed.where("text IS NOT NULL"), "k", "text").select(F.col("k.source_id").alias("source_id"), F.col("k.path").alias("path"), F.coalesce("simhash", F.lit(0)).alias("simhash"))
+    return keyed.select("k.source_id", "k.path", "reason", tx.content_sha256("text").alias("sha256")).join(prints, ["source_id", "path"], "left")
 
 
 def decide(rows: DataFrame, policy: CorpusPolicy, near: bool = True) -> DataFrame:
     """(source_id, path, sha256, duplicate_of) of fingerprinted files without a reason; duplicate_of is null for those kept."""
     first = F.min(F.struct("source_id", paths.parts("path").alias("parts"), "path"))
     identity = lambda c: F.concat(F.col(f"{c}.source_id"), F.lit(":"), F.col(f"{c}.path"))
-    exact = rows.groupBy("sha256").agg(first.alias("f"))
-    out = rows.join(exact, "sha256")
-    copy = (F.col("source_id") != F.col("f.source_id")) | (F.col("path") != F.col("f.path"))
+    out = with_firsts(rows, "sha256", first, "f")
+    copy = F.col("f").isNotNull() & ((F.col("source_id") != F.col("f.source_id")) | (F.col("path") != F.col("f.path")))
     if not near:
         return out.select("source_id", "path", "sha256", F.when(copy, identity("f")).alias("duplicate_of"))
     heads = rows.groupBy("simhash").agg(first.alias("h"))
     nodes = heads.select("simhash", F.struct("h.source_id", "h.parts").alias("rank"))
-    gone = greedy_keep(nodes, near_pairs(nodes.select("simhash"), policy.near_duplicate_distance))
+    gone = greedy_keep(nodes, near_pairs(nodes.select("simhash"), policy.near_duplicate_hamming_distance))
     keeper = gone.join(heads.withColumnsRenamed({"simhash": "keeper", "h": "k"}), "keeper").select("simhash", "k")
-    full = out.join(heads, "simhash").join(keeper, "simhash", "left")
-    not_head = (F.col("source_id") != F.col("h.source_id")) | (F.col("path") != F.col("h.path"))
+    full = with_firsts(out, "simhash", first, "h").join(sized(keeper), "simhash", "left")
+    not_head = F.col("h").isNotNull() & ((F.col("source_id") != F.col("h.source_id")) | (F.col("path") != F.col("h.path")))
     same_content_kept = F.col("k").isNull() & (F.col("f.source_id") == F.col("h.source_id")) & (F.col("f.path") == F.col("h.path"))
     of = F.coalesce(F.when(F.col("k").isNotNull(), identity("k")), F.when(same_content_kept & copy, identity("f")), F.when(not_head, identity("h")))
     return full.select("source_id", "path", "sha256", of.alias("duplicate_of"))
 
 
-def build(sources: DataFrame, files: DataFrame, policy: CorpusPolicy | None = None, near: bool = True) -> dict[str, DataFrame]:
+def build(sources: DataFrame, files: DataFrame, policy: CorpusPolicy | None = None, near: bool = True, native: bool = False, checkouts: DataFrame | None = None) -> dict[str, DataFrame]:
     """Frames ``records``, ``audit`` and ``manifest`` of a build over the admitted sources.
 
     Sources that are not admitted are left out (see ``admit_sources`` for why); every file of the others has one audit row.
@@ -199,11 +225,11 @@ def build(sources: DataFrame, files: DataFrame, policy: CorpusPolicy | None = No
     the records are asked for.
     """
     policy = policy or CorpusPolicy()
-    admitted = cut(admit_sources(sources, files, policy).where("reason IS NULL").drop("reason"))
+    admitted = cut(admit_sources(sources, files, policy, checkouts).where("reason IS NULL").drop("reason"))
     splits = split_sources(admitted, policy)
     mine = latest_wide(files.join(sized(splits.select("source_id")), "source_id", "left_semi"), ["source_id", "path"], "scanned_at")
     texts = normalize_files(mine, policy)
-    prints = cut(fingerprint_files(texts, near))
+    prints = cut(fingerprint_files(texts, near, native))
     decided = decide(prints.where("reason IS NULL").drop("reason"), policy, near)
     accepted = F.coalesce("reason", "duplicate_of").isNull()
     audit = cut(
@@ -244,11 +270,17 @@ def manifest(audit: DataFrame, locked: DataFrame, policy: CorpusPolicy) -> DataF
 
 
 def folded_digest(df: DataFrame, by: str, order: str, content: str, most: int = 1_000_000) -> DataFrame:
-    """(by, digest): one digest over the group's ordered members, each as its key, NUL and the digest of its content (or a mark
-    where that is larger than ``most``). Only 64 characters a member are put together, whatever the contents' size."""
+    """(by, digest): one digest over the group's members, each as its key, NUL and the digest of its content (or a mark where
+    that is larger than ``most``).
+
+    Folded in two levels: members are digested in 4,096 buckets of the hash of their key, each in order of the keys, and the
+    buckets of a group in order of their numbers. So no task gathers a group; a bucket holds 1/4,096 of it.
+    """
     part = F.when(F.octet_length(content) > most, F.concat(F.lit("oversize:"), F.octet_length(content).cast("string"))).otherwise(F.sha2(content, 256))
-    each = df.select(by, F.struct(F.col(order).alias("k"), F.concat(F.col(order), F.lit("\x00"), F.coalesce(part, F.lit(""))).alias("p")).alias("m"))
-    return each.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["p"]), "\n"), 256).alias("digest"))
+    each = df.select(by, F.substring(F.sha2(F.col(order), 256), 1, 3).alias("b"), F.struct(F.col(order).alias("k"), F.concat(F.col(order), F.lit("\x00"), F.coalesce(part, F.lit(""))).alias("p")).alias("m"))
+    fold = lambda items: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda m: m["p"]), "\n"), 256)
+    buckets = each.groupBy(by, "b").agg(fold("m").alias("d"))
+    return buckets.groupBy(by).agg(fold(F.struct(F.col("b").alias("k"), F.concat("b", F.lit(":"), "d").alias("p"))).alias("digest"))
 
 
 def split_overlap(assigned: DataFrame, key: str, split: str = "split") -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    is a folder of our own made.
+    The cluster names its shared folder in ``spark.checkpoint.dir``; only where that is unset and everything runs in one
+    process (tests) is a folder of our own made. Executors on other machines could not read it, so there it is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -23,6 +23,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix=f"sparkloom-{os.getpid()}-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = f"file://{own}"

@@ -6,13 +6,16 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from sparkloom.operators.lineage import cut, sized
+from sparkloom.operators.trajectories import BOS, EOS
 
 IGNORE = -100
 
@@ -73,18 +76,25 @@ def window_starts(total: int, seed: int, samples: DataFrame) -> DataFrame:
     return samples.withColumn("choice", choose("index"))
 
 
-def sample_windows(shards: DataFrame, length: int, samples: int, seed: int, consumed: int = 0) -> DataFrame:
+def sample_windows(shards: DataFrame, length: int, samples: int | DataFrame, seed: int = 0, consumed: int = 0) -> DataFrame:
     """(index, shard, input_ids, labels) of ``samples`` windows of ``length`` tokens, without the first ``consumed``.
 
-    A window never crosses shards; a shard is chosen in proportion to its usable starts. The interval join matches each
-    choice to the one shard whose range of starts holds it; the ranges are one row a shard.
+    ``samples`` is their number, each choice then drawn from the sample's own generator, or a frame (index, choice) of
+    choices to take as they are. A window never crosses shards; a shard is chosen in proportion to its usable starts.
+    The shards' ranges of starts come from a prefix sum in two levels; the interval join matches each choice to the one
+    range that holds it by cells, as many as there are shards.
     """
     spark = shards.sparkSession
-    usable = shards.select("shard", F.greatest(F.lit(0), F.size("tokens") - length).cast("bigint").alias("usable")).where("usable > 0")
-    ranges = usable.withColumn("hi", F.sum("usable").over(Window.orderBy("shard"))).withColumn("lo", F.col("hi") - F.col("usable"))
-    total = usable.agg(F.sum("usable")).first()[0] or 0
-    wanted = window_starts(total, seed, spark.range(samples).withColumnRenamed("id", "index").where(F.col("index") >= consumed))
-    step = max(1, total // 64)
+    usable = cut(shards.select("shard", F.greatest(F.lit(0), F.size("tokens") - length).cast("bigint").alias("usable")).where("usable > 0"))
+    total, count = usable.agg(F.sum("usable"), F.count("*")).first()
+    if not total:
+        raise ValueError("no shard is longer than a window")
+    ranges = with_offsets(usable, "shard", "usable").select("shard", F.col("start").alias("lo"), (F.col("start") + F.col("usable")).alias("hi"))
+    if isinstance(samples, int):
+        wanted = window_starts(total, seed, spark.range(samples).withColumnRenamed("id", "index").where(F.col("index") >= consumed))
+    else:
+        wanted = samples.where(F.col("index") >= consumed).select("index", "choice")
+    step = max(1, total // max(1, count))
     cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor((F.col("hi") - 1) / step))))
     hit = wanted.withColumn("cell", F.floor(F.col("choice") / step)).join(cells, "cell").where((F.col("choice") >= F.col("lo")) & (F.col("choice") < F.col("hi")))
     window = hit.join(shards, "shard").select("index", "shard", F.slice("tokens", (F.col("choice") - F.col("lo") + 1).cast("int"), F.lit(length + 1)).alias("t"), F.slice("mask", (F.col("choice") - F.col("lo") + 1).cast("int"), F.lit(length + 1)).alias("m"))
@@ -110,6 +120,14 @@ def span_mask(lengths: Column, learns: Column, scope: str = "all") -> Column:
     return F.flatten(F.zip_with(lengths, flags, lambda n, f: F.array_repeat(f, n)))
 
 
+def prefix_mask(before: Column, through: Column, size: Column) -> Column:
+    """Mask of a sequence of ``size`` tokens from the lengths of its prefixes: 1 from ``before[i]`` to ``through[i]``, the
+    tokens that precede and that end the learnt turn ``i``, for templates that do not mark learnt tokens themselves."""
+    spans = F.arrays_zip(before.alias("b"), through.alias("t"))
+    place = lambda i: F.exists(spans, lambda s: (s["b"] <= i) & (i < s["t"]))
+    return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(place(i), 1).otherwise(0))).otherwise(F.array().cast("array<int>"))
+
+
 def padded(df: DataFrame, index: str, batch: int, columns: dict[str, int]) -> DataFrame:
     """``df`` with ``batch`` (index div size), ``attention_mask`` and every array of ``columns`` padded on the right, with
     its value, to the longest of its batch. A batch has a fixed number of rows."""
@@ -127,23 +145,52 @@ def token_totals(shards_or_rows: DataFrame, tokens: str = "tokens", mask: str =
     return shards_or_rows.agg(F.count("*").alias("records"), F.sum(F.size(tokens)).alias("tokens"), F.sum(F.aggregate(mask, F.lit(0), lambda s, m: s + m.cast("int"))).alias("supervised_tokens"))
 
 
+def _tokenizer(vocabulary: str, most_id: int):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    if tokenizer.get_vocab_size() - 1 > most_id:
+        raise ValueError("the vocabulary does not fit 16-bit shards")
+    return tokenizer
+
+
 def encode_with(df: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens", most_id: int = 65_535) -> DataFrame:
     """``df`` with the ids of ``text`` by a tokenizer file, refused if an id does not fit 16 bits. The tokenizer is loaded
     once in each Python worker."""
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
     names = [c for c in df.columns if c != out]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
-    def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        if tokenizer.get_vocab_size() - 1 > most_id:
-            raise ValueError("the vocabulary does not fit 16-bit shards")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(vocabulary, most_id)
         for b in batches:
             ids = [e.ids for e in tokenizer.encode_batch([t or "" for t in b.column(names.index(text)).to_pylist()], add_special_tokens=False)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, out])
 
     return df.select(*names).mapInArrow(run, schema)
+
+
+def encode_records(df: DataFrame, vocabulary: str, key: str, text: str | None = None, segments: str | None = "segments", most_id: int = 65_535) -> DataFrame:
+    """(key, tokens, mask) of training records by a tokenizer file.
+
+    A record with a text is that text between begin and end marks, all of it learnt. Else its segments (an array of text and
+    learns) are encoded one by one, so no token crosses their bounds, and a segment's flag holds for all its tokens.
+    Records with neither have no tokens.
+    """
+    none = F.lit(None)
+    src = df.select(key, (F.col(text) if text else none.cast("string")).alias("text"), (F.col(segments) if segments else none.cast("array<struct<text:string,learns:boolean>>")).alias("segments"))
+    schema = T.StructType([src.schema[key], T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(vocabulary, most_id)
+        for b in batches:
+            parts = [[(f"{BOS}\n{t}\n{EOS}", True)] if t is not None else [(x["text"] or "", bool(x["learns"])) for x in s or ()] for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            ids = iter([e.ids for e in tokenizer.encode_batch([t for p in parts for t, _ in p], add_special_tokens=False)])
+            tokens, masks = [], []
+            for p in parts:
+                rows = [(next(ids), int(learns)) for _, learns in p]
+                tokens.append([i for r, _ in rows for i in r])
+                masks.append([m for r, m in rows for _ in r])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, kind), pa.array(masks, kind)], [key, "tokens", "mask"])
+
+    return src.mapInArrow(run, schema)

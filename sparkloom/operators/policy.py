@@ -24,7 +24,8 @@ class CorpusPolicy:
     max_file_bytes: int = 1_000_000
     validation_fraction: float = 0.02
     split_salt: str = "corpus-v1"
-    near_duplicate_distance: int = 3
+    near_duplicate_hamming_distance: int = 3
+    require_clean_git: bool = True
     require_pinned_revision: bool = True
     reject_sensitive_content: bool = True
 
@@ -33,7 +34,7 @@ class CorpusPolicy:
             (self.allowed_licenses, "no license is allowed"),
             (self.min_file_chars > 0 and self.max_file_bytes > 0, "file sizes must be positive"),
             (0 < self.validation_fraction < 1, "validation_fraction must lie between 0 and 1"),
-            (0 <= self.near_duplicate_distance <= 3, "near_duplicate_distance must be 0 to 3"),
+            (0 <= self.near_duplicate_hamming_distance <= 3, "near_duplicate_hamming_distance must be 0 to 3"),
             (self.split_salt, "split_salt is empty"),
         ):
             if not ok:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions.jsonx import parse_decision
+from sparkloom.functions.jsonx import are_json, parse_decision
 from sparkloom.functions.text import let
 
 # Marks of the serialized layout.
@@ -173,24 +173,86 @@ def with_case(df: DataFrame, selector: Column, messages: str = "messages") -> Da
     return some.withColumn("prefix", F.slice(messages, F.lit(1), pos)).withColumn("target", F.get(messages, pos)).drop("_at")
 
 
-def portable(messages: Column, default_name: str = "tool") -> Column:
-    """Chat turns of system, user and assistant only: tool turns become user turns that quote the observation."""
-    kept = F.filter(messages, lambda m: m["role"].isin(*ROLE_MARKS))
-    quoted = lambda m: F.concat(F.lit("OBSERVATION["), F.coalesce(m["name"], F.lit(default_name)), F.lit("]\n"), F.coalesce(m["content"], F.lit("")))
-    is_tool = lambda m: m["role"].isin("tool", "observation")
-    return F.transform(kept, lambda m: F.struct(F.when(is_tool(m), F.lit("user")).otherwise(m["role"]).alias("role"), F.when(is_tool(m), quoted(m)).otherwise(F.coalesce(m["content"], F.lit(""))).alias("content")))
+def quoted_observation(m: Column, default_name: str) -> Column:
+    return F.concat(F.lit("OBSERVATION["), F.coalesce(m["name"], F.lit(default_name)), F.lit("]\n"), F.coalesce(m["content"], F.lit("")))
+
+
+def _turn(role: Column, content: Column) -> Column:
+    return F.struct(role.alias("role"), content.alias("content"))
+
+
+def chat_turns(df: DataFrame, messages: str = "messages") -> DataFrame:
+    """``df`` with error and turns (role, content): chat turns of system, user and assistant only, for training.
+
+    Messages are canonicalized first: an assistant turn is the canonical JSON of its decision, an observation a user turn that
+    quotes it. A record that breaks a rule, or has another role, has an error and no turns.
+    """
+    known = df.withColumn("_c", canonicalize(messages))
+    error = F.coalesce("_c.error", F.when(unknown_role(F.col("_c.messages")), "unsupported role"))
+    content = lambda m: F.when(m["role"] == "assistant", decision_json(m)).when(m["role"].isin("tool", "observation"), quoted_observation(m, "environment")).otherwise(F.coalesce(m["content"], F.lit("")))
+    role = lambda m: F.when(m["role"].isin("tool", "observation"), "user").otherwise(m["role"])
+    turns = F.transform("_c.messages", lambda m: _turn(role(m), content(m)))
+    return known.withColumn("error", error).withColumn("turns", F.when(F.col("error").isNull(), turns)).drop("_c")
+
+
+def request_turns(messages: Column, instruction: str) -> Column:
+    """Chat turns for a model endpoint: the instruction, then system, user and assistant turns as they are (a decision where
+    an assistant turn has no content) and tool turns as user turns that quote them; other roles are left out."""
+    kept = F.filter(messages, lambda m: m["role"].isin("system", "user", "assistant", "tool"))
+    content = lambda m: F.when(m["role"] == "tool", quoted_observation(m, "tool")).otherwise(F.coalesce(m["content"], m["decision"], m["action"], F.lit("")))
+    role = lambda m: F.when(m["role"] == "tool", "user").otherwise(m["role"])
+    return F.concat(F.array(_turn(F.lit("system"), F.lit(instruction))), F.transform(kept, lambda m: _turn(role(m), content(m))))
+
+
+def generated_error(canonical: Column, tools: tuple[str, ...]) -> Column:
+    """First error, in order of the messages, of a generated conversation in canonical form.
+
+    Actions must be of known ``tools``; a tool turn must name the action of the assistant turn before it, with no other tool
+    turn between, and hold JSON; there are no roles but system, user, assistant and tool, and at least one decision.
+    """
+
+    def turn_error(turns: Column, t: Column, i: Column) -> Column:
+        before, m = F.get(turns, i - 1)["m"], t["m"]
+        fits = F.coalesce((before["role"] == "assistant") & (before["action_name"] == m["name"]), F.lit(False)) | ((before["role"] == "assistant") & before["action_name"].isNull() & m["name"].isNull())
+        return F.coalesce(
+            F.when((m["role"] == "assistant") & ~m["action_name"].isin(*tools), "unknown action"),
+            F.when((m["role"] == "tool") & ~F.coalesce(fits, F.lit(False)), "observation does not match the action"),
+            F.when((m["role"] == "tool") & ~t["valid"], "observation is not json"),
+            F.when(~F.coalesce(m["role"].isin("assistant", "tool"), F.lit(False)), "unsupported role"),
+        )
+
+    def first(turns: Column) -> Column:
+        errors = F.filter(F.transform(turns, lambda t, i: turn_error(turns, t, i)), lambda e: e.isNotNull())
+        return F.coalesce(F.get(errors, F.lit(0)), F.when(~F.exists(turns, lambda t: F.coalesce(t["m"]["role"] == "assistant", F.lit(False))), "no decision"))
+
+    checked = F.zip_with(canonical, are_json(F.transform(canonical, lambda m: m["content"])), lambda m, v: F.struct(m.alias("m"), v.alias("valid")))
+    return let(F.filter(checked, lambda t: ~F.coalesce(t["m"]["role"].isin("system", "user"), F.lit(False))), first)
+
+
+NOTICE = "Older tool turns were left out so that the context fits."
 
 
 def within_budget(sizes: Column, budget: int, fixed: int = 2) -> Column:
     """Positions (from 0) of the messages kept for a context of ``budget``: all if they fit, else the first ``fixed`` and
-    the longest run of last ones that fits into the rest."""
+    the longest run of last ones that fits into the rest. One pass over the sizes, from the last one on."""
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
 
     def kept(a: Column) -> Column:
         every = F.sequence(F.lit(0), F.size(a) - 1)
-        rest = F.lit(budget) - total(F.slice(a, 1, fixed))
-        fits = let(rest, lambda r: F.filter(every, lambda i: (i >= fixed) & (total(F.slice(a, i + 1, F.size(a))) <= r)))
-        some = F.concat(F.filter(every, lambda i: i < fixed), fits)
+        rest = F.reverse(F.slice(a, fixed + 1, F.greatest(F.size(a) - fixed, F.lit(0))))
+        state = lambda left, n, open_: F.struct(left.alias("left"), n.alias("n"), open_.alias("open"))
+        begin = state(F.lit(budget).cast("bigint") - total(F.slice(a, 1, fixed)), F.lit(0), F.lit(True))
+        step = lambda s, x: F.when(s["open"] & (x <= s["left"]), state(s["left"] - x, s["n"] + 1, F.lit(True))).otherwise(state(s["left"], s["n"], F.lit(False)))
+        tail = F.aggregate(rest, begin, step, lambda s: s["n"])
+        some = F.filter(every, lambda i: (i < fixed) | (i >= F.size(a) - tail))
         return F.when(F.size(a) == 0, F.array().cast("array<int>")).when(total(a) <= budget, every).otherwise(some)
 
     return let(sizes, kept)
+
+
+def context(messages: Column, sizes: Column, budget: int, fixed: int = 2, notice: str = NOTICE) -> Column:
+    """Turns (role, content) that stay within ``budget``; where some were left out, a notice (not counted) stands after the
+    first ``fixed`` ones."""
+    pick = lambda at: F.transform(at, lambda i: _turn(F.get(messages, i)["role"], F.coalesce(F.get(messages, i)["content"], F.lit(""))))
+    said = F.array(_turn(F.lit("system"), F.lit(notice)))
+    return let(within_budget(sizes, budget, fixed), lambda k: F.when(F.size(k) >= F.size(messages), pick(k)).otherwise(F.concat(pick(F.slice(k, 1, fixed)), said, pick(F.filter(k, lambda i: i >= fixed)))))

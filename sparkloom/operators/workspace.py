@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkloom.functions import paths
+from sparkloom.operators.lineage import cut
 
 #: Every line end that a text splitter knows, as a Java expression.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
@@ -25,8 +27,9 @@ def list_children(files: DataFrame, folder: str, by: str, limit: int = 500) -> D
     child = inside.select(by, F.substring_index(rest, "/", 1).alias("name"), F.instr(rest, "/").alias("slash"))
     child = child.where(~paths.is_sensitive(F.concat(F.lit(prefix), F.col("name"))))
     kinds = child.groupBy(by, "name").agg(F.when(F.max("slash") > 0, "directory").otherwise("file").alias("type"))
-    first = kinds.groupBy(by).agg(F.slice(F.array_sort(F.collect_list(F.struct("name", "type"))), 1, limit).alias("c"))
-    return first.select(by, (F.size("c") >= limit).alias("truncated"), F.explode("c").alias("c")).select(by, "c.name", "c.type", "truncated")
+    # the filter on the row number keeps ``limit`` rows of each tree before anything is moved
+    first = kinds.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("name"))).where(F.col("_n") <= limit)
+    return first.select(by, "name", "type", (F.max("_n").over(Window.partitionBy(by)) >= limit).alias("truncated"))
 
 
 def line_slice(df: DataFrame, text: str, start: int, end: int | None) -> DataFrame:
@@ -45,10 +48,20 @@ def search(df: DataFrame, key: str, text: str, query: str, regex: bool = False,
     return hit.select(key, (F.col("line") + 1).alias("line"), F.substring("text", 1, width).alias("text")).orderBy(key, "line").limit(limit)
 
 
-def compare_and_set(current: DataFrame, writes: DataFrame) -> DataFrame:
+def compare_and_set(current: DataFrame, writes: DataFrame, order: str | None = None) -> DataFrame:
     """(path, ok, sha256) of each write (path, content, expected_sha256): done only if the stored content is the expected
-    one (null: no file); otherwise the stored digest comes back."""
+    one (null: no file); otherwise the digest that is stored afterwards comes back.
+
+    All writes of a batch expect the state before it, so at most one for each path is done: the first, by ``order`` (a column
+    of ``writes``; by content where none is given), whose expectation holds. Writes to one path are not gathered: the
+    first is an aggregate.
+    """
     now = current.select("path", F.sha2("content", 256).alias("_now"))
-    both = writes.join(now, "path", "left")
-    ok = F.col("_now").eqNullSafe(F.col("expected_sha256"))
-    return both.select("path", ok.alias("ok"), F.when(ok, F.sha2(F.col("content"), 256)).otherwise(F.col("_now")).alias("sha256"))
+    numbered = cut(writes.withColumn("_id", F.monotonically_increasing_id()))  # numbers must not change between the reads
+    both = numbered.join(now, "path", "left").withColumn("_new", F.sha2("content", 256))
+    fits = F.col("_now").eqNullSafe(F.col("expected_sha256"))
+    rank = F.struct(*([F.col(order)] if order else []), "_new", "_id")
+    won = both.where(fits).groupBy("path").agg(F.min(rank).alias("_won"))
+    out = both.join(won, "path", "left")
+    ok = F.coalesce(fits & (F.col("_won._id") == F.col("_id")), F.lit(False))
+    return out.select("path", ok.alias("ok"), F.coalesce("_won._new", "_now").alias("sha256"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,8 +11,9 @@ from pyspark.sql.window import Window
 from sparkloom.functions import arrays
 from sparkloom.functions import text as tx
 from sparkloom.operators import packing, scoring
-from sparkloom.operators.lineage import cut
-from sparkloom.plans.tables import table, texts
+from sparkloom.operators.lineage import cut, ensure_checkpoint_dir
+from sparkloom.plans.tables import TOKENIZER_DIR, table, texts
+from sparkloom.sources import jsonl, shards, sinks, synthetic
 
 SHARD = 4096
 
@@ -52,6 +55,65 @@ def sampled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("index", F.col("shard").cast("bigint").alias("shard"), F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), ","), 256).alias("input_sha256"), F.size(F.filter("labels", lambda x: x == packing.IGNORE)).cast("bigint").alias("ignored"))
 
 
+def sampled_windows_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows at choices that are given (here spread evenly over the usable starts)."""
+    p = cut(packing.pack(_streams(spark, sf_dir), "doc_id", "tokens", "mask", SHARD))
+    usable = p.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.size("tokens") - 128)), F.lit(0)).cast("bigint").alias("usable")).first()["usable"]
+    choices = spark.range(500).select(F.col("id").alias("index"), F.pmod(F.col("id") * 7919 * 104_729, F.lit(max(1, usable))).alias("choice"))
+    w = packing.sample_windows(p, 128, choices, consumed=20)
+    return w.select("index", F.col("shard").cast("bigint").alias("shard"), F.sha2(F.array_join(F.col("input_ids").cast("array<string>"), ","), 256).alias("input_sha256"), F.size(F.filter("labels", lambda x: x == packing.IGNORE)).cast("bigint").alias("ignored"))
+
+
+def shard_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards written to disk as flat 16-bit ids and read again."""
+    path = f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    p = packing.pack(_streams(spark, sf_dir), "doc_id", "tokens", "mask", SHARD)
+    listed = shards.write_shards(p.select("shard", F.transform("tokens", lambda t: F.least(t, F.lit(shards.MAX_ID))).alias("tokens"), "mask"), path)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    read = shards.read_shards(spark, path).select("shard", total("tokens").alias("token_sum"), total("mask").alias("mask_sum"))
+    return listed.join(read, "shard").select(F.col("shard").cast("bigint").alias("shard"), F.col("token_count").cast("bigint").alias("tokens"), F.col("supervised").cast("bigint").alias("supervised"), "token_sum", "mask_sum")
+
+
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON Lines, null fields and all, read with their places and parsed again."""
+    path = f"{ensure_checkpoint_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), path)
+    lines = jsonl.objects(jsonl.read_jsonl(spark, path), ("doc_id", "text", "lang", "source"))
+    back = lines.select("error", F.from_json("value", "doc_id BIGINT, text STRING, lang STRING, source STRING").alias("r"))
+    return back.select("r.doc_id", "r.lang", "r.source", F.sha2("r.text", 256).alias("text_sha256"), "error")
+
+
+def counted_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal replaced in documents that hold it exactly twice."""
+    d = texts(spark, sf_dir).select("doc_id", tx.replace_counted(F.col("text"), F.lit(" the "), F.lit(" THE "), F.lit(2)).alias("r"))
+    return d.select("doc_id", "r.ok", F.col("r.count").cast("bigint").alias("count"), F.sha2("r.text", 256).alias("text_sha256"))
+
+
+def api_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of sources as roots of a version 1 interface."""
+    return table(spark, sf_dir, "sources").where("source_url IS NOT NULL").select("source_id", "source_url").distinct().select("source_id", "source_url", tx.api_root("source_url").alias("root"))
+
+
+def vector_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotated positions, gated values and attention over pairs of embeddings, summed up to comparable numbers."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    s = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    pair = F.array(arrays.doubles("embedding"), F.reverse(arrays.doubles("embedding")))
+    return e.select(
+        "vec_id",
+        F.round(arrays.dot(arrays.rotary("embedding", F.lit(3.0)), "embedding"), 6).alias("rotary_dot"),
+        F.round(s(arrays.swiglu(F.col("embedding"), F.col("embedding"))), 6).alias("gated_sum"),
+        F.round(arrays.dot(F.get(arrays.causal_attention(pair, pair, pair), F.lit(1)), "embedding"), 6).alias("attended_dot"),
+    )
+
+
+def synthetic_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated conversations by split and family: records, indices, selectors and decisions."""
+    d = synthetic.dataset(spark, {"train": 40, "validation": 4, "eval": 4})
+    turns = F.size(F.filter("messages", lambda m: m["role"] == "assistant"))
+    return d.groupBy("split", "family").agg(F.count("*").alias("records"), F.min("index").alias("first_index"), F.max("index").alias("last_index"), F.sum("selector").alias("selectors"), F.max(turns).cast("bigint").alias("decisions"))
+
+
 def shifted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _streams(spark, sf_dir).where("size(tokens) > 0").select("doc_id", packing.shifted_labels(F.col("tokens"), F.col("mask")).alias("labels"))
     return s.select("doc_id", F.size("labels").cast("bigint").alias("labels"), F.size(F.filter("labels", lambda x: x == packing.IGNORE)).cast("bigint").alias("ignored"), F.aggregate("labels", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("label_sum"))
@@ -67,7 +129,7 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document by a public tokenizer file."""
     d = texts(spark, sf_dir)
-    return packing.encode_with(d, "/opt/tokenizers/byte_bpe_50k.json").select("doc_id", F.size("tokens").cast("bigint").alias("tokens"))
+    return packing.encode_with(d, f"{TOKENIZER_DIR}/byte_bpe_50k.json").select("doc_id", F.size("tokens").cast("bigint").alias("tokens"))
 
 
 def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +230,7 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_totals, token_offsets, shard_slices, packed_shards, sampled_windows, shifted_labels, padded_batches, encoded_documents, eval_cases,
+        stream_totals, token_offsets, shard_slices, packed_shards, sampled_windows, sampled_windows_given, shard_round_trip, jsonl_round_trip, counted_replacements, api_roots, vector_gates, synthetic_dataset, shifted_labels, padded_batches, encoded_documents, eval_cases,
         case_pass_rates, check_rollup, running_evidence, event_windows, learning_rates, model_sizes, latest_checkpoints, prunable_checkpoints,
         vector_norms, vector_losses, line_values, top_orders,
     )
@@ -188,7 +250,24 @@ SELECT doc_id, shard, greatest(start, shard * {SHARD}) - start AS from_token, le
 SELECT place // {SHARD} AS shard, count(*) AS tokens, sum(m)::BIGINT AS supervised, sum(t)::BIGINT AS token_sum, sha256(string_agg(t::VARCHAR, ',' ORDER BY place)) AS tokens_sha256 FROM f GROUP BY ALL""",
     "shifted_labels": f"""WITH {_S}, l AS (SELECT doc_id, [CASE WHEN mask[i] = 0 THEN -100 ELSE tokens[i] END for i in range(2, len(tokens) + 1)] AS labels FROM s WHERE len(tokens) > 0)
 SELECT doc_id, len(labels)::BIGINT AS labels, len([x for x in labels if x = -100])::BIGINT AS ignored, coalesce(list_sum(labels), 0)::BIGINT AS label_sum FROM l""",
-    "padded_batches": f"WITH {_S}, z AS (SELECT doc_id, doc_id // 8 AS batch, least(len(tokens), 64)::BIGINT AS n FROM s) SELECT doc_id, batch, max(n) OVER (PARTITION BY batch) AS width, n AS attended FROM z",
+    "padded_batches": f"WITH {_S}, z AS (SELECT doc_id, doc_id // 8 AS batch, len(tokens)::BIGINT AS n FROM s) SELECT doc_id, batch, max(n) OVER (PARTITION BY batch) AS width, n AS attended FROM z",
+    "sampled_windows_given": f"""WITH {_O}, f AS (SELECT start + unnest(range(0, size)) AS place, unnest(tokens) AS t, unnest(mask) AS m FROM o),
+h AS (SELECT place // {SHARD} AS shard, list(t ORDER BY place) AS t, list(m ORDER BY place) AS m FROM f GROUP BY 1), u AS (SELECT *, greatest(0, len(t) - 128) AS n FROM h), r AS (SELECT *, sum(n) OVER (ORDER BY shard) AS hi FROM u WHERE n > 0),
+i AS (SELECT unnest(range(20, 500)) AS index), c AS (SELECT index, (index * 7919 * 104729) % (SELECT sum(n) FROM u) AS choice FROM i),
+z AS (SELECT index, shard, t[choice - hi + n + 1:choice - hi + n + 129] AS t, m[choice - hi + n + 1:choice - hi + n + 129] AS m FROM c JOIN r ON choice >= hi - n AND choice < hi)
+SELECT index, shard, sha256(array_to_string([x::VARCHAR for x in t[1:128]], ',')) AS input_sha256, len([x for x in m[2:129] if x = 0])::BIGINT AS ignored FROM z""",
+    "shard_round_trip": f"""WITH {_O}, f AS (SELECT start + unnest(range(0, size)) AS place, unnest(tokens) AS t, unnest(mask) AS m FROM o)
+SELECT place // {SHARD} AS shard, count(*) AS tokens, sum(m)::BIGINT AS supervised, sum(least(t, 65535))::BIGINT AS token_sum, sum(m)::BIGINT AS mask_sum FROM f GROUP BY ALL""",
+    "jsonl_round_trip": "SELECT doc_id, lang, source, sha256(text) AS text_sha256, NULL::VARCHAR AS error FROM documents",
+    "counted_replacements": "WITH c AS (SELECT doc_id, text, (length(text) - length(replace(text, ' the ', ''))) // 5 AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, n = 2 AS ok, n AS count, sha256(CASE WHEN n = 2 THEN replace(text, ' the ', ' THE ') ELSE text END) AS text_sha256 FROM c",
+    "api_roots": "WITH u AS (SELECT DISTINCT source_id, source_url, rtrim(source_url, '/') AS r FROM sources WHERE source_url IS NOT NULL) SELECT source_id, source_url, CASE WHEN ends_with(r, '/api/v1') THEN r ELSE r || '/api/v1' END AS root FROM u",
+    "vector_gates": """WITH e AS (SELECT vec_id, [x::DOUBLE for x in embedding] AS v, len(embedding) AS n, len(embedding) // 2 AS h FROM embeddings),
+p AS (SELECT vec_id, v, n, list_sum([(v[i] * cos(3 / pow(10000, 2.0 * ((i - 1) % h) / n)) + (CASE WHEN i <= h THEN -v[h + i] ELSE v[i - h] END) * sin(3 / pow(10000, 2.0 * ((i - 1) % h) / n))) * v[i] for i in range(1, n + 1)]) AS rotary,
+  list_sum([x / (1 + exp(-x)) * x for x in v]) AS gated, list_sum([x * x for x in v]) AS vv, list_sum([v[i] * v[n + 1 - i] for i in range(1, n + 1)]) AS vr FROM e)
+SELECT vec_id, round(rotary, 6) AS rotary_dot, round(gated, 6) AS gated_sum, round((vv * exp(vr / sqrt(n)) + vr * exp(vv / sqrt(n))) / (exp(vr / sqrt(n)) + exp(vv / sqrt(n))), 6) AS attended_dot FROM p""",
+    "synthetic_dataset": """WITH f(family, k, decisions) AS (VALUES ('inspect', 0, 3), ('edit_and_test', 1, 4), ('create_and_test', 2, 4), ('git_to_change', 3, 7), ('review_approve', 4, 5), ('review_block', 5, 4), ('review_merge', 6, 5), ('test_recovery', 7, 6), ('stale_write_recovery', 8, 5), ('permission_recovery', 9, 2)),
+s(split, first, n) AS (VALUES ('train', 0, 40), ('validation', 10000, 4), ('eval', 20000, 4))
+SELECT split, family, n::BIGINT AS records, first::BIGINT AS first_index, (first + n - 1)::BIGINT AS last_index, (n * first + n * (n - 1) // 2 + n * k)::BIGINT AS selectors, decisions::BIGINT AS decisions FROM s CROSS JOIN f""",
     "eval_cases": """SELECT case_id, CASE WHEN coalesce(trim(case_id), '') = '' THEN 'no case id' WHEN NOT coalesce(regexp_full_match(revision, '[0-9a-f]{40}'), false) THEN 'revision is not a full digest'
   WHEN coalesce(len(checks), 0) = 0 THEN 'no checks' WHEN len([c for c in checks if coalesce(len(c.argv), 0) = 0 OR len([a for a in c.argv if a IS NULL]) > 0]) > 0 THEN 'invalid check' WHEN coalesce(trim(task), '') = '' THEN 'no task' END AS reason,
   coalesce(len(checks), 0)::BIGINT AS checks FROM eval_cases""",

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fingerprints, paths
 from sparkloom.functions import text as tx
 from sparkloom.operators import corpus, workspace
-from sparkloom.operators.lineage import cut
+from sparkloom.operators.lineage import cut, ensure_checkpoint_dir
 from sparkloom.operators.policy import CorpusPolicy
 from sparkloom.plans.tables import files, spread, table, texts
+from sparkloom.sources import sinks
 
 POLICY = CorpusPolicy()
 RATIO = CorpusPolicy(validation_fraction=0.1)
@@ -67,10 +70,36 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("format_version", "policy_sha256", "counts.accepted", "counts.rejected", "counts.train", "counts.validation", F.to_json("rejection_reasons").alias("rejection_reasons"), F.size("sources").alias("sources"))
 
 
+def corpus_audit_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit with fingerprints over SHA-256, which SQL can compute."""
+    return corpus.build(table(spark, sf_dir, "sources"), spread(table(spark, sf_dir, "tracked_files")), RATIO, native=True)["audit"]
+
+
+def corpus_records_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of a build without the near-duplicate step."""
+    r = corpus.build(table(spark, sf_dir, "sources"), spread(table(spark, sf_dir, "tracked_files")), RATIO, near=False)["records"]
+    return r.select("metadata.source_id", "metadata.path", "metadata.split", "metadata.license_spdx", "metadata.sha256", F.length("text").cast("bigint").alias("chars"))
+
+
+def corpus_manifest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of a build without the near-duplicate step."""
+    m = corpus.build(table(spark, sf_dir, "sources"), spread(table(spark, sf_dir, "tracked_files")), RATIO, near=False)["manifest"]
+    return m.select("policy_sha256", "counts.accepted", "counts.rejected", "counts.train", "counts.validation", F.to_json("rejection_reasons").alias("rejection_reasons"), F.size("sources").cast("bigint").alias("sources"))
+
+
+def published_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build published to a folder at once and read back: records of each split, and audit lines."""
+    frames = corpus.build(table(spark, sf_dir, "sources"), spread(table(spark, sf_dir, "tracked_files")), RATIO, near=False)
+    path = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    sinks.publish(frames, path)
+    records = spark.read.option("basePath", f"{path}/records").text(f"{path}/records").groupBy(F.concat(F.lit("records:"), "split").alias("part")).agg(F.count("*").alias("lines"))
+    return records.union(spark.read.text(f"{path}/audit").agg(F.count("*").alias("lines")).select(F.lit("audit").alias("part"), "lines"))
+
+
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = cut(texts(spark, sf_dir).select("doc_id", tx.content_sha256(tx.strip(tx.unix_lines("text"))).alias("sha256")))
-    first = d.groupBy("sha256").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    return d.join(first.where("copies > 1"), "sha256").select("doc_id", "first_id", "copies", (F.col("doc_id") == F.col("first_id")).alias("kept"))
+    out = corpus.with_firsts(d, "sha256", F.struct(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "f", "doc_id").where("f IS NOT NULL")
+    return out.select("doc_id", "f.first_id", "f.copies", (F.col("doc_id") == F.col("f.first_id")).alias("kept"))
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +140,15 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_duplicate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one that it duplicates, in order of doc_id."""
-    prints = cut(texts(spark, sf_dir).select("doc_id", fingerprints.simhash("text").alias("simhash")))
+    return _greedy(cut(texts(spark, sf_dir).select("doc_id", fingerprints.simhash("text").alias("simhash"))))
+
+
+def near_duplicate_greedy_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by fingerprints over SHA-256."""
+    return _greedy(cut(simhash_native(spark, sf_dir)))
+
+
+def _greedy(prints: DataFrame) -> DataFrame:
     heads = prints.groupBy("simhash").agg(F.min("doc_id").alias("rank"))
     gone = corpus.greedy_keep(heads, corpus.near_pairs(heads.select("simhash"), 3))
     keeper = gone.join(heads.withColumnsRenamed({"simhash": "keeper", "rank": "of"}), "keeper").select("simhash", "of")
@@ -163,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         source_admission, source_split, path_filter, normalized_files, normalized_documents, rejection_histogram, corpus_decisions, corpus_audit,
-        corpus_records, corpus_manifest, exact_duplicates, token_counts, top_shingles, simhash_native, simhash_blake, simhash_bands, near_duplicate_pairs,
+        corpus_records, corpus_manifest, corpus_audit_native, corpus_records_exact, corpus_manifest_exact, published_corpus, near_duplicate_greedy_native, exact_duplicates, token_counts, top_shingles, simhash_native, simhash_blake, simhash_bands, near_duplicate_pairs,
         near_duplicate_greedy, line_search, children, line_slices, redacted_documents, license_digests, source_digests, split_overlaps,
     )
 }
@@ -229,13 +266,27 @@ _MASKED = f"[CASE WHEN regexp_full_match(x, '\\p{{Nd}}+') THEN '<NUM>' ELSE x EN
 _SHINGLES = f"""w AS (SELECT doc_id, {_MASKED} AS t FROM documents WHERE text IS NOT NULL),
 sh AS (SELECT doc_id, unnest([array_to_string(t[i:i + 4], chr(0)) for i in range(1, len(t) + 1)]) AS s FROM w)"""
 _BITS = ", ".join(f"(sum((h >> {i}) & 1) * 2 >= count(*))::INT::HUGEINT * {1 << i} AS b{i}" for i in range(64))
-_SIMHASH = f"""
-WITH {_SHINGLES},
-hs AS (SELECT doc_id, ('0x' || sha256(s)[1:16])::UBIGINT AS h FROM sh),
+_PRINTS = f"""hs AS (SELECT doc_id, ('0x' || sha256(s)[1:16])::UBIGINT AS h FROM sh),
 v AS (SELECT doc_id, {_BITS} FROM hs GROUP BY doc_id),
 u AS (SELECT doc_id, {" + ".join(f"b{i}" for i in range(64))} AS x FROM v),
-p AS (SELECT doc_id, (CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END)::BIGINT AS simhash FROM u)
+p AS (SELECT doc_id, (CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END)::BIGINT AS simhash FROM u)"""
+_SIMHASH = f"""
+WITH {_SHINGLES},
+{_PRINTS}
 """
+_RECURSIVE_SHINGLES = "RECURSIVE " + _SHINGLES
+# First fingerprints in order, those with near ones only; each is kept unless a kept one is near, which is then its keeper if it is the first.
+_KEPT = """g AS (SELECT simhash, min(doc_id) AS r FROM p GROUP BY simhash),
+near AS (SELECT a.simhash AS a, b.simhash AS b, a.r AS ra FROM g a JOIN g b ON a.simhash <> b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3),
+nodes AS (SELECT simhash, r, row_number() OVER (ORDER BY r) AS k FROM g WHERE simhash IN (SELECT a FROM near)),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL
+  SELECT w.k + 1, CASE WHEN len([x for x in w.kept if bit_count(xor(x, n.simhash)) <= 3]) > 0 THEN w.kept ELSE list_append(w.kept, n.simhash) END FROM walk w JOIN nodes n ON n.k = w.k + 1),
+kept AS (SELECT unnest(kept) AS s FROM walk WHERE k = (SELECT max(k) FROM walk)),
+gone AS (SELECT b AS simhash, min(ra) AS keeper FROM near WHERE a IN (SELECT s FROM kept) AND b NOT IN (SELECT s FROM kept) GROUP BY b)"""
+_EXACT = f"""{_NORMALIZED.replace("WITH f", "WITH RECURSIVE f", 1)}, {_ADMITTED},
+sp AS {_split("admission WHERE reason IS NULL")},
+k AS (SELECT n.source_id, n.path, n.reason, n.t, sp.split, CASE WHEN n.reason IS NULL THEN sha256(t || chr(10)) END AS sha256, CASE WHEN n.reason IS NULL THEN length(t) + 1 END AS chars,
+  CASE WHEN n.reason IS NULL THEN row_number() OVER (PARTITION BY n.reason IS NULL, sha256(t) ORDER BY n.source_id, string_split(n.path, '/')) END AS nth FROM n JOIN sp USING (source_id))"""
 
 SQL = {
     "source_admission": f"WITH {_ADMITTED} SELECT source_id, license_spdx, revision, reason FROM admission",
@@ -251,6 +302,20 @@ sp AS {_split("admission WHERE reason IS NULL")},
 k AS (SELECT n.source_id, n.path, n.reason, sp.split, CASE WHEN n.reason IS NULL THEN row_number() OVER (PARTITION BY n.reason IS NULL, sha256(t) ORDER BY n.source_id, string_split(n.path, '/')) END AS nth FROM n JOIN sp USING (source_id)),
 r AS (SELECT coalesce(reason, CASE WHEN nth > 1 THEN 'duplicate' END) AS reason, split FROM k)
 SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS decision, reason, CASE WHEN reason IS NULL THEN split END AS split, count(*) AS files FROM r GROUP BY ALL""",
+    "corpus_records_exact": f"""{_EXACT} SELECT source_id, path, split, license_spdx, sha256, chars FROM k JOIN one USING (source_id) WHERE reason IS NULL AND nth = 1""",
+    "corpus_manifest_exact": f"""{_EXACT}, r AS (SELECT coalesce(reason, CASE WHEN nth > 1 THEN 'duplicate' END) AS reason, split FROM k), h AS (SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason)
+SELECT '{RATIO.digest()}' AS policy_sha256, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected, count(*) FILTER (reason IS NULL AND split = 'train') AS train, count(*) FILTER (reason IS NULL AND split = 'validation') AS validation,
+  (SELECT '{{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}}' FROM h) AS rejection_reasons, (SELECT count(*) FROM sp) AS sources FROM r""",
+    "published_corpus": f"""{_EXACT} SELECT 'records:' || split AS part, count(*) AS lines FROM k WHERE reason IS NULL AND nth = 1 GROUP BY split UNION ALL SELECT 'audit', count(*) FROM k""",
+    "corpus_audit_native": f"""{_EXACT}, ok AS (SELECT source_id, path, string_split(path, '/') AS parts, sha256, t || chr(10) AS text, row_number() OVER (ORDER BY source_id, string_split(path, '/')) AS doc_id FROM k WHERE reason IS NULL),
+w AS (SELECT doc_id, {_MASKED} AS t FROM ok), sh AS (SELECT doc_id, unnest([array_to_string(t[i:i + 4], chr(0)) for i in range(1, len(t) + 1)]) AS s FROM w), {_PRINTS}, {_KEPT},
+x AS (SELECT ok.*, p.simhash, min(ok.doc_id) OVER (PARTITION BY sha256) AS f, min(ok.doc_id) OVER (PARTITION BY p.simhash) AS h FROM ok JOIN p USING (doc_id)),
+y AS (SELECT x.*, gone.keeper, CASE WHEN gone.keeper IS NOT NULL THEN gone.keeper WHEN f = h AND doc_id <> f THEN f WHEN doc_id <> h THEN h END AS dup FROM x LEFT JOIN gone USING (simhash)),
+z AS (SELECT y.source_id, y.path, o.source_id || ':' || o.path AS duplicate_of FROM y LEFT JOIN ok o ON y.dup = o.doc_id)
+SELECT k.source_id, k.path, CASE WHEN k.reason IS NULL AND z.duplicate_of IS NULL THEN 'accepted' ELSE 'rejected' END AS decision, coalesce(k.reason, CASE WHEN z.duplicate_of IS NOT NULL THEN 'duplicate' END) AS reason, z.duplicate_of,
+  CASE WHEN k.reason IS NULL AND z.duplicate_of IS NULL THEN k.sha256 END AS sha256, CASE WHEN k.reason IS NULL AND z.duplicate_of IS NULL THEN k.split END AS split FROM k LEFT JOIN z USING (source_id, path)""",
+    "near_duplicate_greedy_native": f"""WITH {_RECURSIVE_SHINGLES}, {_PRINTS}, {_KEPT}, x AS (SELECT doc_id, simhash, min(doc_id) OVER (PARTITION BY simhash) AS h FROM p)
+SELECT doc_id, coalesce(gone.keeper, CASE WHEN doc_id <> h THEN h END) AS duplicate_of FROM x LEFT JOIN gone USING (simhash)""",
     "exact_duplicates": f"""WITH d AS (SELECT doc_id, sha256({_strip(_unix("text"))}) AS h FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first_id, count(*) OVER (PARTITION BY h) AS copies FROM d) SELECT doc_id, first_id, copies, doc_id = first_id AS kept FROM c WHERE copies > 1""",
     "token_counts": f"WITH w AS (SELECT doc_id, {_MASKED} AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(t)::BIGINT AS tokens, len([x for x in t if x = '<NUM>'])::BIGINT AS numbers, sha256(array_to_string(t, chr(0))) AS tokens_sha256 FROM w",
@@ -264,7 +329,7 @@ e AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text FRO
     "children": f"""WITH c AS (SELECT source_id, string_split(path, '/')[1] AS name, max(CASE WHEN contains(path, '/') THEN 1 ELSE 0 END) AS dir FROM tracked_files WHERE NOT {_UNSAFE} GROUP BY ALL),
 ok AS (SELECT source_id, name, CASE WHEN dir = 1 THEN 'directory' ELSE 'file' END AS type, row_number() OVER (PARTITION BY source_id ORDER BY name) AS nth, count(*) OVER (PARTITION BY source_id) AS n FROM c
   WHERE name <> '.git' AND lower(name) <> '.env' AND NOT starts_with(lower(name), '.env.') AND NOT regexp_matches(lower(name), '.[.](key|pem)$'))
-SELECT source_id, name, type, n >= 5 AS truncated FROM ok WHERE nth <= 5""",
+SELECT source_id, name, type, n >= 500 AS truncated FROM ok WHERE nth <= 500""",
     "line_slices": rf"""WITH t AS (SELECT doc_id, {_unix("text")} AS text FROM documents WHERE text IS NOT NULL),
 s AS (SELECT doc_id, text, regexp_split_to_array(text, '[\n\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS a FROM t), l AS (SELECT doc_id, text, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS l FROM s)
 SELECT doc_id, len(l)::BIGINT AS line_count, least(len(l), 4)::BIGINT AS end_line, sha256(array_to_string(l[2:4], chr(10))) AS slice_sha256, sha256(text) AS sha256 FROM l""",
@@ -273,8 +338,8 @@ SELECT doc_id, len(l)::BIGINT AS line_count, least(len(l), 4)::BIGINT AS end_lin
     + "text[1:50000]"
     + "".join(f", '{p}', '<REDACTED>', 'g')" for p in tx.RECORDED_SECRETS)
     + r", '(https?://)[^/@\s]+@', '\1<REDACTED>@', 'g')) AS redacted_sha256 FROM documents WHERE text IS NOT NULL",
-    "source_digests": f"""WITH f AS ({_FILES}), e AS (SELECT source_id, path, path || chr(0) || CASE WHEN octet_length(content) > 8000 THEN 'oversize:' || octet_length(content) ELSE sha256(content) END AS p FROM f WHERE is_regular AND content IS NOT NULL)
-SELECT source_id, sha256(string_agg(p, chr(10) ORDER BY path)) AS digest FROM e GROUP BY source_id""",
+    "source_digests": f"""WITH f AS ({_FILES}), e AS (SELECT source_id, path, sha256(path)[1:3] AS b, path || chr(0) || CASE WHEN octet_length(content) > {POLICY.max_file_bytes} THEN 'oversize:' || octet_length(content) ELSE sha256(content) END AS p FROM f WHERE is_regular AND content IS NOT NULL),
+d AS (SELECT source_id, b, sha256(string_agg(p, chr(10) ORDER BY path)) AS d FROM e GROUP BY source_id, b) SELECT source_id, sha256(string_agg(b || ':' || d, chr(10) ORDER BY b)) AS digest FROM d GROUP BY source_id""",
     "split_overlaps": """WITH r AS (SELECT lower(string_split(source_id, '/')[1]) AS owner, nullif(lower(trim(split)), '') AS split FROM resolved_sources)
 SELECT owner, min(split) AS first_split, max(split) AS last_split FROM r GROUP BY owner HAVING min(split) <> max(split)""",
     "license_digests": """WITH r AS (SELECT DISTINCT source_id, license_sha256 FROM resolved_sources WHERE license_sha256 IS NOT NULL), s AS (SELECT DISTINCT source_id, license_file FROM sources),

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.schema_rules import argument_error
 from sparkloom.functions.text import clipped
-from sparkloom.operators import scoring
+from sparkloom.operators import packing, scoring
 from sparkloom.operators import trajectories as tr
-from sparkloom.plans.tables import trajectories
+from sparkloom.operators.lineage import cut
+from sparkloom.plans.tables import TOKENIZER_DIR, trajectories
+from sparkloom.sources import catalog
 
 BUDGET = 1500
-#: Characters of an observation that are kept (the reference's max_observation_chars).
+INSTRUCTION = "Answer with one decision as JSON: a plan if one is needed, and either an action or a result."
+#: Characters of an observation that are kept.
 OBSERVATION = 30_000
 
 
@@ -67,11 +71,61 @@ def next_decision_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("traj_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("assistant_count").cast("bigint").alias("assistant_count"), F.size("prefix").cast("bigint").alias("prefix_messages"), F.coalesce("target.decision", "target.action", "target.content").alias("target"))
 
 
-def portable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trajectories(spark, sf_dir).select("traj_id", F.posexplode(tr.portable(F.col("messages"))).alias("pos", "m"))
+def _turns(df: DataFrame, turns) -> DataFrame:
+    t = df.select("traj_id", F.posexplode(turns).alias("pos", "m"))
     return t.select("traj_id", F.col("pos").cast("bigint").alias("pos"), "m.role", F.sha2("m.content", 256).alias("content_sha256"))
 
 
+def portable_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat turns for training: canonical decisions as assistant turns, observations as user turns."""
+    return _turns(tr.chat_turns(trajectories(spark, sf_dir)), F.col("turns"))
+
+
+def request_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat turns for a model endpoint, behind an instruction."""
+    return _turns(trajectories(spark, sf_dir), tr.request_turns(F.col("messages"), INSTRUCTION))
+
+
+def context_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that stay within a budget of characters, with a notice where some were left out."""
+    size = F.transform("messages", lambda m: F.length(F.coalesce(m["content"], F.lit(""))).cast("bigint"))
+    return _turns(trajectories(spark, sf_dir), tr.context(F.col("messages"), size, BUDGET))
+
+
+def generated_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First rule for generated conversations that each one breaks."""
+    c = trajectories(spark, sf_dir).select("traj_id", tr.canonicalize("messages").alias("c"))
+    return c.select("traj_id", F.coalesce("c.error", tr.generated_error(F.col("c.messages"), tuple(catalog.TOOLS))).alias("error"))
+
+
+def argument_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First violation of its tool's schema by the arguments of every action."""
+    c = trajectories(spark, sf_dir).select("traj_id", F.posexplode(F.filter(tr.canonicalize("messages")["messages"], lambda m: m["action_name"].isNotNull())).alias("nth", "m"))
+    return c.select("traj_id", F.col("nth").cast("bigint").alias("nth"), F.col("m.action_name").alias("tool"), argument_error(catalog.schemas(), F.col("m.action_name"), F.col("m.arguments")).alias("violation"))
+
+
+def training_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each conversation that a tokenizer would be fitted on."""
+    s = tr.serialize(trajectories(spark, sf_dir)).select("traj_id", tr.training_text(F.lit(None).cast("string"), F.col("segments")).alias("t"))
+    return s.select("traj_id", F.length("t").cast("bigint").alias("chars"), F.sha2("t", 256).alias("text_sha256"))
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.encode_records(tr.serialize(trajectories(spark, sf_dir)), f"{TOKENIZER_DIR}/byte_bpe_50k.json", "traj_id")
+
+
+def encoded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each conversation by a public tokenizer file, segment by segment, with the mask of learnt tokens."""
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return _encoded(spark, sf_dir).select("traj_id", F.size("tokens").cast("bigint").alias("tokens"), total("mask").alias("supervised"), F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ","), 256).alias("tokens_sha256"))
+
+
+def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations from text to packed shards of real ids."""
+    p = packing.pack(cut(_encoded(spark, sf_dir)), "traj_id", "tokens", "mask", 65_536)
+    return p.select(F.col("shard").cast("bigint").alias("shard"), F.size("tokens").cast("bigint").alias("tokens"), F.aggregate("mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("supervised"))
+
+
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that stay within a budget of characters: the first two and the longest fitting run of last ones."""
     size = F.transform("messages", lambda m: F.length(F.coalesce(m["content"], F.lit(""))).cast("bigint"))
@@ -111,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         message_roles, conversation_shape, canonical_decisions, decision_counts, serialized, segment_flags, observation_checks, next_decision_cases,
-        portable_turns, context_budget, dataset_manifest, decision_scores, decision_rates, publication_gate,
+        portable_turns, request_turns, context_turns, generated_checks, argument_checks, training_texts, encoded_segments, token_shards, context_budget, dataset_manifest, decision_scores, decision_rates, publication_gate,
     )
 }
 
@@ -131,28 +185,48 @@ b AS (SELECT traj_id, i, m, coalesce(before, json_extract_string(m.decision, '$.
   CASE WHEN m.decision IS NOT NULL THEN json_extract_string(m.decision, '$.result') WHEN m.action IS NULL THEN coalesce(m.content, '') END AS r FROM n WHERE NOT coalesce(m.role = 'assistant' AND m.channel = 'plan', false)),
 c AS (SELECT *, '{{' || concat_ws(',', '"action":' || a, '"plan":' || to_json(plan)::VARCHAR, CASE WHEN a IS NULL THEN '"result":' || to_json(r)::VARCHAR END) || '}}' AS d FROM b)"""
 
+_SEGMENTS = """x AS (SELECT traj_id, i, m.role = 'assistant' AS learns, CASE m.role WHEN 'system' THEN '<|system|>' WHEN 'user' THEN '<|user|>' WHEN 'assistant' THEN '<|assistant|>' ELSE '<|observation|>' END || chr(10)
+  || CASE WHEN m.role = 'assistant' THEN coalesce('<|plan|>' || chr(10) || plan || chr(10), '') || coalesce('<|action|>' || chr(10) || a, '<|result|>' || chr(10) || r)
+     WHEN m.role IN ('tool', 'observation') THEN 'name=' || coalesce(m.name, 'environment') || chr(10) || coalesce(m.content, '') ELSE coalesce(m.content, '') END || chr(10) || '<|turn_end|>' || chr(10) AS text FROM c),
+y AS (SELECT traj_id, i, learns, text FROM x UNION ALL SELECT traj_id, -1, false, '<|bos|>' FROM t UNION ALL SELECT traj_id, 1000000, false, '<|eos|>' FROM t)"""
+
 SQL = {
     "message_roles": f"WITH {_M} SELECT source_id, m.role AS role, m.channel AS channel, count(*) AS messages, sum(length(m.content))::BIGINT AS chars FROM m GROUP BY ALL",
     "conversation_shape": f"""WITH {_M} SELECT traj_id, count(*) AS messages, count(*) FILTER (m.role = 'assistant') AS assistant_turns,
   coalesce(sum(length(coalesce(m.content, m.decision, m.action, ''))) FILTER (m.role = 'assistant'), 0)::BIGINT AS learnt_chars,
-  sha256(coalesce(string_agg(CASE WHEN length(m.content) > 300 THEN m.content[1:300] || '[...]' ELSE coalesce(m.content, '') END, chr(0) ORDER BY i) FILTER (m.role IN ('tool', 'observation')), '')) AS observations_sha256 FROM m GROUP BY traj_id""",
+  sha256(coalesce(string_agg(CASE WHEN length(m.content) > {OBSERVATION} THEN m.content[1:{OBSERVATION}] || '[...]' ELSE coalesce(m.content, '') END, chr(0) ORDER BY i) FILTER (m.role IN ('tool', 'observation')), '')) AS observations_sha256 FROM m GROUP BY traj_id""",
     "decision_counts": f"""WITH {_M} SELECT traj_id, count(*) FILTER (m.role = 'assistant' AND (m.channel = 'plan' OR json_exists(m.decision, '$.plan'))) AS plans,
   count(*) FILTER (m.role = 'assistant' AND (m.action IS NOT NULL OR json_exists(m.decision, '$.action'))) AS actions,
   count(*) FILTER (m.role = 'assistant' AND (m.channel = 'result' OR json_exists(m.decision, '$.result') OR (m.channel IS NULL AND m.action IS NULL AND m.decision IS NULL))) AS results FROM m GROUP BY traj_id""",
     "canonical_decisions": f"""WITH {_CANONICAL} SELECT traj_id, NULL::VARCHAR AS error, row_number() OVER (PARTITION BY traj_id ORDER BY i) - 1 AS nth, d AS decision FROM c WHERE m.role = 'assistant'""",
-    "serialized": f"""WITH {_CANONICAL}, x AS (SELECT traj_id, i, m.role = 'assistant' AS learns, CASE m.role WHEN 'system' THEN '<|system|>' WHEN 'user' THEN '<|user|>' WHEN 'assistant' THEN '<|assistant|>' ELSE '<|observation|>' END || chr(10)
-  || CASE WHEN m.role = 'assistant' THEN coalesce('<|plan|>' || chr(10) || plan || chr(10), '') || coalesce('<|action|>' || chr(10) || a, '<|result|>' || chr(10) || r)
-     WHEN m.role IN ('tool', 'observation') THEN 'name=' || coalesce(m.name, 'environment') || chr(10) || coalesce(m.content, '') ELSE coalesce(m.content, '') END || chr(10) || '<|turn_end|>' || chr(10) AS text FROM c),
-y AS (SELECT traj_id, i, learns, text FROM x UNION ALL SELECT traj_id, -1, false, '<|bos|>' FROM t UNION ALL SELECT traj_id, 1000000, false, '<|eos|>' FROM t)
+    "serialized": f"""WITH {_CANONICAL}, {_SEGMENTS}
 SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY i) - 1 AS pos, sha256(text) AS text_sha256, length(text) AS chars, learns FROM y""",
+    "training_texts": f"""WITH {_CANONICAL}, {_SEGMENTS} SELECT traj_id, sum(length(text))::BIGINT AS chars, sha256(string_agg(text, '' ORDER BY i)) AS text_sha256 FROM y GROUP BY traj_id""",
     "segment_flags": f"""WITH {_M} SELECT traj_id, 2 + count(*) FILTER (NOT coalesce(m.channel = 'plan', false)) AS segments, count(*) FILTER (m.role = 'assistant' AND NOT coalesce(m.channel = 'plan', false)) AS learnt FROM m GROUP BY traj_id""",
     "observation_checks": f"""WITH {_M}, u AS (SELECT traj_id, i, m.role AS role, m.name AS name, lag(m.role) OVER w AS before, lag({_NAME}) OVER w AS action FROM m WHERE m.role IN ('assistant', 'tool') WINDOW w AS (PARTITION BY traj_id ORDER BY i)),
 e AS (SELECT traj_id, bool_or(role = 'tool' AND NOT coalesce(before = 'assistant' AND action = name, false)) AS wrong, bool_or(role = 'assistant') AS decided FROM u GROUP BY traj_id)
 SELECT t.traj_id, CASE WHEN wrong THEN 'observation does not match the action' WHEN NOT coalesce(decided, false) THEN 'no decision' END AS error FROM t LEFT JOIN e USING (traj_id)""",
     "next_decision_cases": f"WITH {_A} SELECT traj_id, nth AS ordinal, n AS assistant_count, i AS prefix_messages, coalesce(m.decision, m.action, m.content) AS target FROM a WHERE nth = traj_id % n",
-    "portable_turns": f"""WITH {_M}, k AS (SELECT traj_id, i, m FROM m WHERE m.role IN ('system', 'user', 'assistant', 'tool', 'observation'))
-SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY i) - 1 AS pos, CASE WHEN m.role IN ('tool', 'observation') THEN 'user' ELSE m.role END AS role,
-  sha256(CASE WHEN m.role IN ('tool', 'observation') THEN 'OBSERVATION[' || coalesce(m.name, 'tool') || ']' || chr(10) || coalesce(m.content, '') ELSE coalesce(m.content, '') END) AS content_sha256 FROM k""",
+    "portable_turns": f"""WITH {_CANONICAL} SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY i) - 1 AS pos, CASE WHEN m.role IN ('tool', 'observation') THEN 'user' ELSE m.role END AS role,
+  sha256(CASE WHEN m.role = 'assistant' THEN d WHEN m.role IN ('tool', 'observation') THEN 'OBSERVATION[' || coalesce(m.name, 'environment') || ']' || chr(10) || coalesce(m.content, '') ELSE coalesce(m.content, '') END) AS content_sha256 FROM c""",
+    "request_turns": f"""WITH {_M}, k AS (SELECT traj_id, i, CASE WHEN m.role = 'tool' THEN 'user' ELSE m.role END AS role,
+  CASE WHEN m.role = 'tool' THEN 'OBSERVATION[' || coalesce(m.name, 'tool') || ']' || chr(10) || coalesce(m.content, '') ELSE coalesce(m.content, m.decision, m.action, '') END AS content FROM m WHERE m.role IN ('system', 'user', 'assistant', 'tool')
+  UNION ALL SELECT traj_id, -1, 'system', '{INSTRUCTION}' FROM t) SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY i) - 1 AS pos, role, sha256(content) AS content_sha256 FROM k""",
+    "context_turns": f"""WITH {_M}, z AS (SELECT traj_id, i, m, length(coalesce(m.content, '')) AS n FROM m),
+w AS (SELECT traj_id, i, m, sum(n) OVER (PARTITION BY traj_id) AS total, sum(CASE WHEN i < 2 THEN n ELSE 0 END) OVER (PARTITION BY traj_id) AS head, sum(n) OVER (PARTITION BY traj_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM z),
+k AS (SELECT traj_id, i::DOUBLE AS i, m.role AS role, coalesce(m.content, '') AS content FROM w WHERE total <= {BUDGET} OR i < 2 OR tail <= {BUDGET} - head UNION ALL SELECT DISTINCT traj_id, 1.5, 'system', '{tr.NOTICE}' FROM w WHERE total > {BUDGET} AND i >= 2 AND tail > {BUDGET} - head)
+SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY i) - 1 AS pos, role, sha256(content) AS content_sha256 FROM k""",
+    "generated_checks": f"""WITH {_CANONICAL}, u AS (SELECT traj_id, i, m.role AS role, m.name AS name, m.content AS content, json_extract_string(a, '$.name') AS action FROM c WHERE m.role IS NULL OR m.role NOT IN ('system', 'user')),
+v AS (SELECT *, lag(role) OVER w AS before, lag(action) OVER w AS asked FROM u WINDOW w AS (PARTITION BY traj_id ORDER BY i)),
+e AS (SELECT traj_id, i, CASE WHEN role = 'assistant' AND action NOT IN ({", ".join(f"'{x}'" for x in catalog.TOOLS)}) THEN 'unknown action' WHEN role = 'tool' AND NOT coalesce(before = 'assistant' AND asked IS NOT DISTINCT FROM name, false) THEN 'observation does not match the action'
+  WHEN role = 'tool' AND NOT json_valid(coalesce(content, '')) THEN 'observation is not json' WHEN coalesce(role, '') NOT IN ('assistant', 'tool') THEN 'unsupported role' END AS error FROM v),
+f AS (SELECT traj_id, arg_min(error, i) FILTER (error IS NOT NULL) AS error FROM e GROUP BY traj_id), g AS (SELECT DISTINCT traj_id FROM u WHERE role = 'assistant')
+SELECT t.traj_id, coalesce(f.error, CASE WHEN g.traj_id IS NULL THEN 'no decision' END) AS error FROM t LEFT JOIN f USING (traj_id) LEFT JOIN g USING (traj_id)""",
+    "argument_checks": f"""WITH {_CANONICAL}, s(tool, required, known, top) AS (VALUES {", ".join(f"('{n}', {[k for k, v in x.items() if v.get('required')]}::VARCHAR[], {sorted(x)}::VARCHAR[], {x.get('limit', {}).get('maximum', 'NULL')})" for n, x in catalog.TOOLS.items())}),
+q AS (SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY i) - 1 AS nth, json_extract_string(a, '$.name') AS tool, json_extract(a, '$.arguments') AS g FROM c WHERE a IS NOT NULL),
+r AS (SELECT q.*, required, known, top, [x for x in required if NOT list_contains(json_keys(g), x)] AS missing, list_sort([x for x in json_keys(g) if NOT list_contains(known, x)]) AS extra FROM q LEFT JOIN s USING (tool))
+SELECT traj_id, nth, tool, CASE WHEN known IS NULL THEN 'unknown tool' WHEN len(missing) > 0 THEN 'arguments lacks ' || missing[1] WHEN len(extra) > 0 THEN 'arguments has unknown fields ' || array_to_string(extra, ', ')
+  WHEN json_extract(g, '$.limit')::INT > top THEN 'arguments.limit is above maximum ' || top END AS violation FROM r""",
     "context_budget": f"""WITH {_M}, z AS (SELECT traj_id, i, length(coalesce(m.content, '')) AS n FROM m),
 w AS (SELECT traj_id, i, sum(n) OVER (PARTITION BY traj_id) AS total, sum(CASE WHEN i < 2 THEN n ELSE 0 END) OVER (PARTITION BY traj_id) AS head, sum(n) OVER (PARTITION BY traj_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM z),
 k AS (SELECT traj_id, i, total <= {BUDGET} OR i < 2 OR tail <= {BUDGET} - head AS kept FROM w)

@@ -65,3 +65,52 @@ class GitTreeSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
+
+
+STATE_SCHEMA = "source_id STRING, revision STRING, branch STRING, clean BOOLEAN, porcelain STRING, diff STRING, truncated BOOLEAN"
+#: Characters of a diff that are kept.
+DIFF_MOST = 100_000
+
+
+def is_sensitive(path: str) -> bool:
+    """The rule of ``functions.paths.is_sensitive`` for one path."""
+    *folders, name = path.lower().split("/")
+    return ".git" in path.split("/") or name == ".env" or name.startswith(".env.") or name.endswith((".key", ".pem")) and len(name) > 4
+
+
+def diff(folder: str, staged: bool = False, path: str | None = None, most: int = DIFF_MOST) -> tuple[str, bool]:
+    """(diff, truncated) of a checkout, or of one path in it, without protected files."""
+    kind = ["diff", "--cached"] if staged else ["diff"]
+    if path is not None:
+        if path.startswith("/") or ".." in path.split("/") or is_sensitive(path):
+            raise ValueError(f"refused to show {path}")
+        names = [path]
+    else:
+        names = [n for n in git(folder, *kind, "--name-only", "-z").decode("utf-8", "surrogateescape").split("\0") if n and not is_sensitive(n)]
+    if not names:
+        return "", False
+    text = git(folder, *kind, "--", *names).decode("utf-8", "replace")
+    return text[:most], len(text) > most
+
+
+class _StateReader(_Reader):
+    def read(self, partition: Checkout) -> Iterator[tuple]:
+        folder = partition.folder
+        status = git(folder, "status", "--porcelain=v1", "--branch").decode("utf-8", "replace")
+        text, cut = diff(folder)
+        clean = all(line.startswith("##") for line in status.splitlines() if line)
+        yield partition.source_id, git(folder, "rev-parse", "HEAD").decode().strip(), git(folder, "branch", "--show-current").decode().strip(), clean, status, text, cut
+
+
+class GitStateSource(GitTreeSource):
+    """``spark.read.format("git_state")`` with the options of ``git_tree``: one row a checkout, with what is changed in it."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "git_state"
+
+    def schema(self) -> str:
+        return STATE_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _StateReader(dict(self.options))

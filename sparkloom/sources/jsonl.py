@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_ROWS = "file STRING, block BIGINT, nth BIGINT, value STRING, error STRING"
+_ROWS = "file STRING, block BIGINT, nth BIGINT, value STRING, error STRING, blank BOOLEAN"
 
 
 def _object_error(line: str) -> str | None:
@@ -32,17 +32,19 @@ def read_jsonl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict = {}
         for b in batches:
-            values, nth, errors = b.column(0).to_pylist(), [], []
+            values, nth, errors, blank = b.column(0).to_pylist(), [], [], []
             for v, f, s in zip(values, b.column(1).to_pylist(), b.column(2).to_pylist()):
                 seen[f, s] = seen.get((f, s), 0) + 1
                 nth.append(seen[f, s])
-                errors.append(_object_error(v) if v.strip() else None)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(nth, pa.int64()), b.column(0), pa.array(errors, pa.string())], ["file", "block", "nth", "value", "error"])
+                blank.append(not v.strip())
+                errors.append(None if blank[-1] else _object_error(v))
+            cols = [b.column(1), b.column(2), pa.array(nth, pa.int64()), b.column(0), pa.array(errors, pa.string()), pa.array(blank, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, ["file", "block", "nth", "value", "error", "blank"])
 
     rows = text.mapInArrow(number, _ROWS)
     size = rows.groupBy("file", "block").agg(F.max("nth").alias("n"))
     before = size.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).drop("n")
-    return rows.join(before, ["file", "block"]).where(F.trim("value") != "").select("file", (F.col("before") + F.col("nth")).alias("line"), "value", "error")
+    return rows.join(before, ["file", "block"]).where("NOT blank").select("file", (F.col("before") + F.col("nth")).alias("line"), "value", "error")
 
 
 def objects(lines: DataFrame, required: tuple[str, ...] = (), strict: bool = False) -> DataFrame:

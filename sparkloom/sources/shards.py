@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +14,18 @@ from pyspark.sql.types import BinaryType
 MAX_ID = 65_535
 
 
+def _packed(ids) -> bytes:
+    a = np.asarray(ids, np.int64)
+    if len(a) and (a.min() < 0 or a.max() > MAX_ID):
+        raise ValueError(f"an id is not from 0 to {MAX_ID}")
+    return a.astype("<u2").tobytes()
+
+
 @F.pandas_udf(BinaryType())
 def as_uint16(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Token ids as little-endian 16-bit numbers; larger ids are an error."""
     for s in batches:
-        yield s.map(lambda ids: struct.pack(f"<{len(ids)}H", *ids))
+        yield s.map(_packed)
 
 
 @F.pandas_udf(BinaryType())
@@ -45,7 +52,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """(shard, tokens, mask) as arrays again."""
     @F.pandas_udf("array<int>")
     def ids(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: list(struct.unpack(f"<{len(b) // 2}H", b)))
+        return s.map(lambda b: np.frombuffer(b, "<u2").astype(np.int32))
 
     @F.pandas_udf("array<int>")
     def flags(s: pd.Series) -> pd.Series:
@@ -55,8 +62,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metadata(shards: DataFrame, vocabulary_size: int, **more) -> str:
-    """The list of shards and their totals as JSON. One small row a shard reaches the driver."""
+    """Totals of the shards as JSON. The list of shards stays a table (``list_shards``); only its sums reach the driver."""
     if vocabulary_size > MAX_ID + 1:
         raise ValueError("the vocabulary does not fit 16-bit shards")
-    rows = [r.asDict() for r in shards.orderBy("shard").collect()]
-    return json.dumps({**more, "vocabulary_size": vocabulary_size, "tokens": sum(r["token_count"] for r in rows), "supervised_tokens": sum(r["supervised"] for r in rows), "shards": rows}, sort_keys=True)
+    one = shards.agg(F.count("*").alias("shards"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("supervised"), F.lit(0)).alias("supervised_tokens")).first()
+    return json.dumps({**more, "format_version": 1, "token_dtype": "uint16", "mask_dtype": "uint8", "vocabulary_size": vocabulary_size, **one.asDict()}, sort_keys=True)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,9 +19,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One JSON object a line, keys in order, null fields left out."""
-    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode(mode).text(path)
+def json_line(df: DataFrame, nulls: bool = True) -> Column:
+    """A row as one JSON object, keys in order; null fields are written as null, or with ``nulls=False`` left out."""
+    return F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": str(not nulls).lower()})
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", nulls: bool = True) -> None:
+    """One JSON object a line (``json_line``)."""
+    df.select(json_line(df, nulls).alias("value")).write.mode(mode).text(path)
+
+
+def write_report(spark: SparkSession, path: str, value: dict) -> None:
+    """A JSON file that replaces an older one at once: written beside it, then renamed over it."""
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    fs, stage = _fs(spark, temporary)
+    out = fs.create(stage, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False, sort_keys=True).encode() + b"\n"))
+    finally:
+        out.close()
+    _, final = _fs(spark, path)
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    try:
+        context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(stage.toUri(), spark._jsc.hadoopConfiguration())
+        kinds = spark.sparkContext._gateway.new_array(options, 1)
+        kinds[0] = options.OVERWRITE
+        context.rename(stage, final, kinds)
+    except BaseException:
+        fs.delete(stage, False)
+        raise
+
+
+def append_metrics(df: DataFrame, path: str) -> None:
+    """Rows of metrics appended as JSON Lines, each with the time it was written."""
+    append_jsonl(df.withColumn("written_at", F.current_timestamp()), path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -43,7 +75,7 @@ def publish(frames: dict[str, DataFrame], target: str, by_split: str | None = "r
     try:
         for name, df in frames.items():
             if name == by_split:
-                rows = df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"), F.col("metadata.split").alias("split"))
+                rows = df.select(json_line(df).alias("value"), F.col("metadata.split").alias("split"))
                 rows.write.partitionBy("split").text(f"{staging}/{name}")
                 for s in need:
                     if not exists(spark, f"{staging}/{name}/split={s}"):

@@ -6,7 +6,7 @@ folder, never gathered in the driver, and read back as a DataFrame.
 
 from __future__ import annotations
 
-import os
+import posixpath
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.functions.text import redact
 from sparkloom.operators.lineage import ensure_checkpoint_dir
 
 
@@ -22,8 +23,9 @@ def stream_of(spark: SparkSession, path: str, files_per_trigger: int = 100) -> D
     """A stream over a parquet folder, or over one parquet file."""
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if os.path.isfile(path.removeprefix("file://")):
-        folder, name = os.path.split(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        folder, name = posixpath.split(path)
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
@@ -57,9 +59,11 @@ RECORDED = "run BIGINT, pos INT, plan STRING, decision STRING, error STRING"
 STATE = "plan STRING, pos INT"
 
 
-def recorder(events: DataFrame) -> DataFrame:
+def recorder(events: DataFrame, most: int | None = 50_000) -> DataFrame:
     """Decisions of each run from a stream of (run, pos, kind, content), kind being plan, decision or other.
 
+    Contents are cut to ``most`` characters (None: not at all) and redacted before they are held or recorded.
+
     A plan is held in state until the next event of its run, across batches: a decision takes it along, anything else is an
     error, and so is a second plan. Events of a run must arrive in order of pos; those at or before the last one seen are
     redeliveries and change nothing.
@@ -86,7 +90,8 @@ def recorder(events: DataFrame) -> DataFrame:
         state.update((plan, last))
         yield pd.DataFrame(out, columns=["run", "pos", "plan", "decision", "error"])
 
-    return events.groupBy("run").applyInPandasWithState(fold, RECORDED, STATE, "append", GroupStateTimeout.NoTimeout)
+    clean = events.select("run", "pos", "kind", redact("content", most=most).alias("content"))
+    return clean.groupBy("run").applyInPandasWithState(fold, RECORDED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def message_events(trajectories: DataFrame) -> DataFrame:

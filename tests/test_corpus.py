@@ -64,7 +64,7 @@ def test_split_does_not_depend_on_order(spark):
 
 
 def test_policy_is_checked():
-    for bad in ({"validation_fraction": 1.0}, {"near_duplicate_distance": 4}, {"split_salt": ""}, {"allowed_licenses": ()}, {"min_file_chars": 0}):
+    for bad in ({"validation_fraction": 1.0}, {"near_duplicate_hamming_distance": 4}, {"split_salt": ""}, {"allowed_licenses": ()}, {"min_file_chars": 0}):
         with pytest.raises(ValueError):
             CorpusPolicy(**bad)
     with pytest.raises(TypeError):

@@ -59,6 +59,35 @@ def test_labels_masks_and_padding(spark):
     assert turns.select(packing.span_mask(F.col("n"), F.col("learns"), "last").alias("m")).first().m == [0, 0, 0, 0, 0, 1]
 
 
+def test_windows_at_given_choices(spark):
+    p = spark.createDataFrame([(i, list(range(i * 100, i * 100 + 10 * (i + 1))), [1] * 10 * (i + 1)) for i in range(7)], "shard INT, tokens ARRAY<INT>, mask ARRAY<INT>")
+    usable = [(i, 10 * (i + 1) - 8) for i in range(7)]
+    total = sum(u for _, u in usable)
+    w = {r["index"]: (r.shard, r.input_ids[0]) for r in packing.sample_windows(p, 8, spark.range(total).selectExpr("id AS index", "id AS choice")).collect()}
+    want = [(i, i * 100 + k) for i, u in usable for k in range(u)]
+    assert [w[i] for i in range(total)] == want
+
+
+def test_records_are_encoded_segment_by_segment(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    vocabulary = {c: i for i, c in enumerate(["a", "b", "ab", "\n", "<|bos|>", "<|eos|>", "[U]"])}
+    t = tokenizers.Tokenizer(tokenizers.models.BPE(vocabulary, [("a", "b")], unk_token="[U]"))
+    t.add_special_tokens(["<|bos|>", "<|eos|>"])
+    t.save(f"{tmp_path}/t.json")
+    rows = [(1, None, [("a", False), ("b", True), ("ab", True)]), (2, "ab", None), (3, None, None), (4, "", [("a", True)])]
+    df = spark.createDataFrame(rows, "id BIGINT, text STRING, segments ARRAY<STRUCT<text: STRING, learns: BOOLEAN>>")
+    got = {r.id: (r.tokens, r.mask) for r in packing.encode_records(df, f"{tmp_path}/t.json", "id", text="text").collect()}
+    assert got == {1: ([0, 1, 2], [0, 1, 1]), 2: ([4, 3, 2, 3, 5], [1] * 5), 3: ([], []), 4: ([4, 3, 3, 5], [1] * 4)}
+    with pytest.raises(Exception, match="16-bit"):
+        packing.encode_records(df, f"{tmp_path}/t.json", "id", most_id=3).collect()
+
+
+def test_masks_from_prefix_lengths(spark):
+    df = spark.createDataFrame([([2, 3, 4, 1], [False, True, False, True], [2, 9], [5, 10], 10), ([], [], [], [], 0)], "n ARRAY<INT>, learns ARRAY<BOOLEAN>, b ARRAY<INT>, t ARRAY<INT>, size INT")
+    got = df.select(packing.span_mask(F.col("n"), F.col("learns")).alias("x"), packing.prefix_mask(F.col("b"), F.col("t"), F.col("size")).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and got[0].y == [0, 0, 1, 1, 1, 0, 0, 0, 0, 1]
+
+
 def test_scores(spark):
     a = '{"action": {"name": "t", "arguments": {"x": 1}}}'
     rows = [(a, a), ('{"action": {"name": "t", "arguments": {"x": 2}}}', a), ('{"action": {"name": "u"}}', a), ('{"result": "ok"}', a), ('{"result": "ok"}', '{"result": "other"}'), ('{"result": " "}', '{"result": "other"}'), ("not json", a), (None, a), (a, '{"result": "x"}')]
@@ -128,8 +157,11 @@ def test_workspace(spark):
     import hashlib
 
     old = hashlib.sha256(b"old").hexdigest()
-    w = spark.createDataFrame([("p", b"new", old), ("p", b"new", "stale"), ("q", b"new", None)], "path STRING, content BINARY, expected_sha256 STRING")
-    assert sorted((r.path, r.ok, r.sha256 == hashlib.sha256(b"new").hexdigest()) for r in workspace.compare_and_set(now, w).collect()) == [("p", False, False), ("p", True, True), ("q", True, True)]
+    new, late = hashlib.sha256(b"new").hexdigest(), hashlib.sha256(b"late").hexdigest()
+    w = spark.createDataFrame([("p", b"late", old, 2), ("p", b"new", old, 1), ("p", b"new", "stale", 0), ("q", b"new", None, 1), ("r", b"new", old, 1), ("q", b"new", None, 1)], "path STRING, content BINARY, expected_sha256 STRING, at INT")
+    got = [(r.path, r.ok, r.sha256) for r in workspace.compare_and_set(now, w, "at").collect()]
+    assert sorted(got, key=str) == sorted([("p", False, new), ("p", True, new), ("p", False, new), ("q", True, new), ("q", False, new), ("r", False, None)], key=str)
+    assert {r.sha256 for r in workspace.compare_and_set(now, w).where("path = 'p'").collect()} == {min(new, late)}
 
 
 def test_causal_attention_equals_numpy(spark):

@@ -66,9 +66,32 @@ def test_cases(spark):
         assert len(r) == 1 and (r[0].ordinal, len(r[0].prefix), r[0].target.content) == want and r[0].assistant_count == 2
 
 
-def test_portable_turns(spark):
-    df = frame(spark, [message("system", "s"), message("tool", "x", "git.diff"), message("observation", None), message("narrator", "n"), message("assistant", None)])
-    assert [tuple(m) for m in df.select(tr.portable(F.col("messages")).alias("p")).first().p] == [("system", "s"), ("user", "OBSERVATION[git.diff]\nx"), ("user", "OBSERVATION[tool]\n"), ("assistant", "")]
+def test_chat_turns(spark):
+    talk = [message("system", "s"), message("assistant", "think", channel="plan"), message("assistant", action=ACTION), message("tool", "x", "git.diff"), message("observation", None), message("user", None), message("assistant", None)]
+    df = frame(spark, talk, [message("narrator", "n")], [message("assistant", "p", channel="plan")], [])
+    got = {r.id: (r.error, r.turns and [tuple(m) for m in r.turns]) for r in tr.chat_turns(df).collect()}
+    decision = '{"action":{"arguments":{"n":1.0,"path":"a"},"name":"workspace.read"},"plan":"think"}'
+    assert got[0] == (None, [("system", "s"), ("assistant", decision), ("user", "OBSERVATION[git.diff]\nx"), ("user", "OBSERVATION[environment]\n"), ("user", ""), ("assistant", '{"result":""}')])
+    assert got[1] == ("unsupported role", None) and got[2] == ("record ends with a plan", None) and got[3] == (None, [])
+    asked = df.select(tr.request_turns(F.col("messages"), "do").alias("t")).first().t
+    assert [tuple(m) for m in asked] == [("system", "do"), ("system", "s"), ("assistant", "think"), ("assistant", ACTION), ("user", "OBSERVATION[git.diff]\nx"), ("user", ""), ("assistant", "")]
+
+
+def test_generated_conversations(spark):
+    a, t, tools = message("assistant", action=ACTION), message("tool", "{}", "workspace.read"), ("workspace.read",)
+    other = message("assistant", action=json.dumps({"name": "no.such", "arguments": {}}))
+    df = frame(spark, [a, t, message("assistant", decision=RESULT)], [a, message("user", "x"), t], [other, t], [a, t, t], [a, message("tool", "12 passed", "workspace.read")], [message("user", "x")], [a, message("observation", "{}", "workspace.read")], [a, message("tool", None, "workspace.read")])
+    c = df.select("id", tr.canonicalize("messages").alias("c"))
+    got = {r.id: r.e for r in c.select("id", tr.generated_error(F.col("c.messages"), tools).alias("e")).collect()}
+    no = "observation does not match the action"
+    assert got == {0: None, 1: None, 2: "unknown action", 3: no, 4: "observation is not json", 5: "no decision", 6: "unsupported role", 7: "observation is not json"}
+
+
+def test_context_carries_a_notice(spark):
+    df = frame(spark, [message("system", "s"), message("user", "u"), message("tool", "x" * 50), message("user", None), message("tool", "y" * 10)], [message("system", "s")])
+    size = F.transform("messages", lambda m: F.length(F.coalesce(m["content"], F.lit(""))).cast("bigint"))
+    got = {r.id: [tuple(m) for m in r.t] for r in df.select("id", tr.context(F.col("messages"), size, 20).alias("t")).collect()}
+    assert got == {0: [("system", "s"), ("user", "u"), ("system", tr.NOTICE), ("user", ""), ("tool", "y" * 10)], 1: [("system", "s")]}
 
 
 def test_budget_equals_a_plain_loop(spark):
