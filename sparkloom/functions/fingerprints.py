@@ -41,28 +41,32 @@ def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: None if t is None else simhash_of(t)).astype("Int64")
 
 
-#: Votes of the 64 bits are summed three to a number, 22 bits apart, which holds up to so many shingles of a document.
-LANES, LANE_BITS, LANE_MOST = 22, 22, (1 << 20) - 1
+#: Votes of the 64 bits are counted three to a number, 22 bits apart, which holds up to so many shingles of a document.
+LANES, LANE_MOST = 22, (1 << 20) - 1
+_LANES = 1 | 1 << LANES | 1 << 2 * LANES
+_VOTES = f"(a, x) -> transform(a, (v, i) -> v + (shiftrightunsigned(x, i) & {_LANES}L))"
+_COUNT = f"(shiftrightunsigned(a[b % {LANES}], {LANES} * (b div {LANES})) & {(1 << LANES) - 1}L)"
+_BITS = f"a -> aggregate(sequence(0, 63), 0L, (t, b) -> t | if(size(q) > 0 AND {_COUNT} * 2 >= size(q), shiftleft(1L, b), 0L))"
 
 
-def simhash_native(df: DataFrame, id_col: str, text_col: str, most: int = 20_000) -> DataFrame:
-    """(id, simhash) by built-in functions only; the shingle hash is the first 64 bits of SHA-256.
+def with_simhash(df: DataFrame, text: str, out: str = "simhash", most: int = 20_000) -> DataFrame:
+    """``df`` with the fingerprint of ``text`` by built-in functions only; the shingle hash is the first 64 bits of SHA-256.
+    0 without tokens, null for null.
 
-    Votes are summed per document with map-side combine: 22 counters a document, whatever its length, each with three lanes
-    (bits i, i + 22 and i + 44). ``most`` bounds the shingles of a document as in ``text.token_shingles``.
+    A document's shingles are hashed and its votes counted within its row, 22 counters of three lanes each (bits i, i + 22 and
+    i + 44), so nothing is exploded or shuffled. ``most`` bounds the shingles as in ``text.token_shingles``.
     """
     if not 0 < most <= LANE_MOST:
         raise ValueError(f"most must be from 1 to {LANE_MOST}")
-    one = df.select(F.col(id_col), F.explode(tx.token_shingles(tx.masked_tokens(text_col), most=most)).alias("s"))
-    bits = one.select(id_col, F.conv(F.substring(F.sha2("s", 256), 1, 16), 16, -10).cast("bigint").alias("h"))
-    lanes = F.lit(1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS).cast("bigint")
-    votes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes)).alias(f"v{i}") for i in range(LANES)]
-    counted = bits.groupBy(id_col).agg(F.count("*").alias("n"), *votes)
-    total = F.lit(0).cast("bigint")
-    for bit in range(64):
-        count = F.shiftrightunsigned(f"v{bit % LANES}", LANE_BITS * (bit // LANES)).bitwiseAND(F.lit((1 << LANE_BITS) - 1).cast("bigint"))
-        total = total.bitwiseOR(F.when(count * 2 >= F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return counted.select(id_col, total.alias("simhash"))
+    hashes = F.transform(tx.token_shingles(tx.masked_tokens(text), most=most), lambda s: F.conv(F.substring(F.sha2(s, 256), 1, 16), 16, -10).cast("bigint"))
+    keep = [c for c in df.columns if c != out]
+    hashed = df.select(*[F.col(f"`{c}`") for c in keep], hashes.alias("_hashes"))
+    return hashed.select(*[F.col(f"`{c}`") for c in keep], F.expr(f"get(transform(array(_hashes), q -> aggregate(q, array_repeat(0L, {LANES}), {_VOTES}, {_BITS})), 0)").alias(out))
+
+
+def simhash_native(df: DataFrame, id_col: str, text_col: str, most: int = 20_000) -> DataFrame:
+    """(id, simhash) of every row, see ``with_simhash``."""
+    return with_simhash(df.select(F.col(id_col), F.col(text_col)), text_col, "simhash", most).select(id_col, "simhash")
 
 
 def bands(h: Column | str) -> Column:

@@ -6,6 +6,8 @@ fingerprints are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+from functools import cache
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -190,12 +192,9 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> D
 def fingerprint_files(texts: DataFrame, near: bool = True, native: bool = False) -> DataFrame:
     """(source_id, path, reason, sha256, simhash) of normalized files: all that later steps need of their texts. ``native``
     takes the shingle hashes from SHA-256 instead of BLAKE2, which built-in functions (and SQL) can compute."""
-    plain = lambda h: texts.select("source_id", "path", "reason", tx.content_sha256("text").alias("sha256"), h.alias("simhash"))
-    if not near or not native:
-        return plain(fingerprints.simhash("text") if near else F.lit(None).cast("bigint"))
-    keyed = cut(texts.select(F.struct("source_id", "path").alias("k"), "text", "reason"))
-    prints = fingerprints.simhash_native(keyed.where("text IS NOT NULL"), "k", "text").select(F.col("k.source_id").alias("source_id"), F.col("k.path").alias("path"), F.coalesce("simhash", F.lit(0)).alias("simhash"))
-    return keyed.select("k.source_id", "k.path", "reason", tx.content_sha256("text").alias("sha256")).join(prints, ["source_id", "path"], "left")
+    if near and native:
+        return fingerprints.with_simhash(texts, "text").select("source_id", "path", "reason", tx.content_sha256("text").alias("sha256"), "simhash")
+    return texts.select("source_id", "path", "reason", tx.content_sha256("text").alias("sha256"), (fingerprints.simhash("text") if near else F.lit(None).cast("bigint")).alias("simhash"))
 
 
 def decide(rows: DataFrame, policy: CorpusPolicy, near: bool = True) -> DataFrame:
@@ -217,7 +216,27 @@ def decide(rows: DataFrame, policy: CorpusPolicy, near: bool = True) -> DataFram
     return full.select("source_id", "path", "sha256", of.alias("duplicate_of"))
 
 
-def build(sources: DataFrame, files: DataFrame, policy: CorpusPolicy | None = None, near: bool = True, native: bool = False, checkouts: DataFrame | None = None) -> dict[str, DataFrame]:
+#: Up to so many accepted files their metadata is sent to the executors; beyond, it is joined by shuffle.
+BROADCAST_WIDE = 50_000
+
+
+class Frames(Mapping):
+    """Frames by name, each planned when it is first asked for."""
+
+    def __init__(self, plans: dict[str, Callable[[], DataFrame]]):
+        self._plans = {n: cache(f) for n, f in plans.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._plans[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._plans)
+
+    def __len__(self) -> int:
+        return len(self._plans)
+
+
+def build(sources: DataFrame, files: DataFrame, policy: CorpusPolicy | None = None, near: bool = True, native: bool = False, checkouts: DataFrame | None = None) -> Frames:
     """Frames ``records``, ``audit`` and ``manifest`` of a build over the admitted sources.
 
     Sources that are not admitted are left out (see ``admit_sources`` for why); every file of the others has one audit row.
@@ -246,13 +265,21 @@ def build(sources: DataFrame, files: DataFrame, policy: CorpusPolicy | None = No
             F.when(accepted, F.col("split")).alias("split"),
         )
     )
-    licenses = files.where("is_regular").join(sized(admitted.select("source_id", F.col("license_file").alias("path"))), ["source_id", "path"]).select("source_id", F.col("path").alias("license_file"), F.sha2("content", 256).alias("license_sha256")).distinct()
-    locked = cut(admitted.join(splits, "source_id").join(licenses, ["source_id", "license_file"]))
-    metadata = F.struct("license_file", "license_sha256", "license_spdx", "path", "revision", "sha256", "source_id", "source_url", "split")
-    kept = audit.where("decision = 'accepted'").select("source_id", "path", "sha256")
-    named = kept.join(locked.select("source_id", "license_file", "license_sha256", "license_spdx", "revision", "source_url", "split"), "source_id")
-    records = texts.where("reason IS NULL").select("source_id", "path", "text").join(sized(named), ["source_id", "path"]).select("text", metadata.alias("metadata"))
-    return {"records": records, "audit": audit, "manifest": manifest(audit, locked, policy)}
+
+    def locked() -> DataFrame:
+        licenses = files.where("is_regular").join(sized(admitted.select("source_id", F.col("license_file").alias("path"))), ["source_id", "path"]).select("source_id", F.col("path").alias("license_file"), F.sha2("content", 256).alias("license_sha256")).distinct()
+        return cut(admitted.join(splits, "source_id").join(licenses, ["source_id", "license_file"]))
+
+    locked = cache(locked)
+
+    def records() -> DataFrame:
+        metadata = F.struct("license_file", "license_sha256", "license_spdx", "path", "revision", "sha256", "source_id", "source_url", "split")
+        kept = audit.where("decision = 'accepted'").select("source_id", "path", "sha256")
+        named = kept.join(locked().select("source_id", "license_file", "license_sha256", "license_spdx", "revision", "source_url", "split"), "source_id")
+        # rows of some 600 bytes: fewer of them are sent than of narrow ones
+        return texts.where("reason IS NULL").select("source_id", "path", "text").join(sized(named, BROADCAST_WIDE), ["source_id", "path"]).select("text", metadata.alias("metadata"))
+
+    return Frames({"records": records, "audit": lambda: audit, "manifest": lambda: manifest(audit, locked(), policy)})
 
 
 def rejections(audit: DataFrame) -> DataFrame:

@@ -269,7 +269,7 @@ _BITS = ", ".join(f"(sum((h >> {i}) & 1) * 2 >= count(*))::INT::HUGEINT * {1 <<
 _PRINTS = f"""hs AS (SELECT doc_id, ('0x' || sha256(s)[1:16])::UBIGINT AS h FROM sh),
 v AS (SELECT doc_id, {_BITS} FROM hs GROUP BY doc_id),
 u AS (SELECT doc_id, {" + ".join(f"b{i}" for i in range(64))} AS x FROM v),
-p AS (SELECT doc_id, (CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END)::BIGINT AS simhash FROM u)"""
+p AS (SELECT w.doc_id, coalesce(CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616 ELSE x END, 0)::BIGINT AS simhash FROM w LEFT JOIN u USING (doc_id))"""
 _SIMHASH = f"""
 WITH {_SHINGLES},
 {_PRINTS}

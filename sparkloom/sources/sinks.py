@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,13 +61,13 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     write_jsonl(df, path, "append")
 
 
-def publish(frames: dict[str, DataFrame], target: str, by_split: str | None = "records", need: tuple[str, ...] = ("train", "validation")) -> None:
+def publish(frames: Mapping[str, DataFrame], target: str, by_split: str | None = "records", need: tuple[str, ...] = ("train", "validation")) -> None:
     """Write ``frames`` as JSON Lines folders under ``target``, all or nothing.
 
     An existing target is an error. Everything goes to a staging folder beside it that is renamed at the end and deleted on any
     failure. The frame named ``by_split`` is partitioned by its metadata.split, and every split in ``need`` must have rows.
     """
-    spark = next(iter(frames.values())).sparkSession
+    spark = SparkSession.active()
     fs, final = _fs(spark, target)
     if fs.exists(final):
         raise FileExistsError(target)
