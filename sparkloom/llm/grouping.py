@@ -186,18 +186,35 @@ def min_cost_flow(bundles: list[Bundle], quotas: np.ndarray, move_cost: float =
 
 
 def bundle_flow(bundles: list[Bundle], quotas: np.ndarray, move_cost: float = 1.0) -> np.ndarray:
-    """``min_cost_flow`` for any number of bundles: costs depend on the label only, so the bundles of a label flow as one
-    and share its flow by their mass, which also gives every split the same profile of sizes."""
+    """``min_cost_flow`` for any number of bundles: costs depend on the label only, so the bundles of a label flow as one.
+
+    The label's flow is then handed to its bundles from the largest components down, the present split first. So it is small
+    components that move, and at most one bundle of a label is divided at each split.
+    """
     labels = sorted({b.label for b in bundles})
     mass = {x: sum(b.size * b.count for b in bundles if b.label == x) for x in labels}
     merged = min_cost_flow([Bundle(1, x, mass[x]) for x in labels], quotas, move_cost)
-    part = {x: merged[i] / max(mass[x], 1) for i, x in enumerate(labels)}
-    return np.array([part[b.label] * b.size * b.count for b in bundles]).reshape(len(bundles), len(quotas))
+    flow = np.zeros((len(bundles), len(quotas)))
+    for x, left in zip(labels, merged):
+        order = sorted(range(len(quotas)), key=lambda t: (t != x, -left[t]))
+        left = left.copy()
+        for i in sorted((i for i, b in enumerate(bundles) if b.label == x), key=lambda i: -bundles[i].size):
+            need = float(bundles[i].size * bundles[i].count)
+            for t in order:
+                part = min(need, left[t])
+                flow[i, t] += part
+                left[t] -= part
+                need -= part
+            flow[i, order[-1]] += need  # what rounding left over
+    return flow
 
 
 def round_whole(bundles: list[Bundle], flow: np.ndarray, quotas: np.ndarray) -> np.ndarray:
-    """Whole components of each bundle for each split: floors first, then what is left over, largest components first,
-    each to the split that is furthest below its quota."""
+    """Whole components of each bundle for each split: floors first, then what is left over, largest components first.
+
+    Such a component stays in its present split, or goes where the flow sends it, if that brings the split nearer to its
+    quota; else it goes to the split that is furthest below its quota.
+    """
     counts = np.zeros(flow.shape, int)
     for i, b in enumerate(bundles):
         if b.size:
@@ -208,8 +225,8 @@ def round_whole(bundles: list[Bundle], flow: np.ndarray, quotas: np.ndarray) ->
     for i in sorted(range(len(bundles)), key=lambda i: -bundles[i].size):
         b = bundles[i]
         for _ in range(b.count - int(counts[i].sum())):
-            # the emptiest split; of equals the present one, then one of the flow's
-            s = max(range(len(quotas)), key=lambda t: (quotas[t] - filled[t], t == b.label, flow[i, t]))
+            gap = lambda t: quotas[t] - filled[t]  # noqa: B023, E731
+            s = max(range(len(quotas)), key=lambda t: (gap(t) >= b.size / 2, t == b.label if gap(t) >= b.size / 2 else False, flow[i, t] if gap(t) >= b.size / 2 else 0.0, gap(t)))  # noqa: B023
             counts[i, s] += 1
             filled[s] += b.size
     return counts
