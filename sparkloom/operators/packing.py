@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,6 +157,38 @@ def _tokenizer(vocabulary: str, most_id: int):
     return tokenizer
 
 
+#: Bytes of text that are encoded at a time.
+CHUNK = 1 << 18
+
+
+def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batches`` (key, text, segments) whose texts have no more than ``most`` bytes, or of one row."""
+    length = lambda c: pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for b in batches:
+        pieces = np.cumsum([0, *length(b.column(2).flatten().flatten()[0])])
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+        upto = np.cumsum(length(b.column(1))) + pieces[ends]
+        first = 0
+        while first < b.num_rows:
+            before = upto[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(upto, before + most, "right")))
+            yield b.slice(first, last - first)
+            first = last
+
+
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer) -> Iterator[pa.RecordBatch]:
+    """Batches (key, tokens, mask) for ``batches`` (key, text, segments), see ``encode_records``."""
+    kind = lambda a: pa.array(a, pa.int32())
+    for b in chunks(batches):
+        parts = [[(f"{BOS}\n{t}\n{EOS}", True)] if t is not None else [(x["text"] or "", bool(x["learns"])) for x in s or ()] for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        ids = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([t for p in parts for t, _ in p], add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, ids)])
+        starts = kind(ends[np.cumsum([0, *map(len, parts)])])
+        mask = np.repeat(np.array([learns for p in parts for _, learns in p], np.int32), np.diff(ends))
+        tokens = np.concatenate([np.empty(0, np.int32), *ids])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.ListArray.from_arrays(starts, kind(a)) for a in (tokens, mask))], [b.schema.names[0], "tokens", "mask"])
+
+
 def encode_with(df: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens", most_id: int = 65_535) -> DataFrame:
     """``df`` with the ids of ``text`` by a tokenizer file, refused if an id does not fit 16 bits. The tokenizer is loaded
     once in each Python worker."""
@@ -174,23 +209,15 @@ def encode_records(df: DataFrame, vocabulary: str, key: str, text: str | None =
 
     A record with a text is that text between begin and end marks, all of it learnt. Else its segments (an array of text and
     learns) are encoded one by one, so no token crosses their bounds, and a segment's flag holds for all its tokens.
-    Records with neither have no tokens.
+    Records with neither have no tokens. Only ``CHUNK`` bytes of text, or one record, are encoded at a time, however large a
+    batch is: while it is made, an encoding takes many times the memory of its ids.
     """
     none = F.lit(None)
     src = df.select(key, (F.col(text) if text else none.cast("string")).alias("text"), (F.col(segments) if segments else none.cast("array<struct<text:string,learns:boolean>>")).alias("segments"))
     schema = T.StructType([src.schema[key], T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(vocabulary, most_id)
-        for b in batches:
-            parts = [[(f"{BOS}\n{t}\n{EOS}", True)] if t is not None else [(x["text"] or "", bool(x["learns"])) for x in s or ()] for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            ids = iter([e.ids for e in tokenizer.encode_batch([t for p in parts for t, _ in p], add_special_tokens=False)])
-            tokens, masks = [], []
-            for p in parts:
-                rows = [(next(ids), int(learns)) for _, learns in p]
-                tokens.append([i for r, _ in rows for i in r])
-                masks.append([m for r, m in rows for _ in r])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, kind), pa.array(masks, kind)], [key, "tokens", "mask"])
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        return encoded(batches, _tokenizer(vocabulary, most_id))
 
     return src.mapInArrow(run, schema)

@@ -1,6 +1,8 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,27 @@ def test_records_are_encoded_segment_by_segment(spark, tmp_path):
         packing.encode_records(df, f"{tmp_path}/t.json", "id", most_id=3).collect()
 
 
+def test_large_batches_are_encoded_by_slices():
+    sizes = []
+
+    class Bytes:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            sizes.append(sum(map(len, texts)))
+            return [SimpleNamespace(ids=list(t.encode())) for t in texts]
+
+    rng = random.Random(3)
+    n = packing.CHUNK // 8
+    word = lambda: "é" * rng.randrange(n // 2) + "x" * rng.randrange(n)
+    rows = [(i, word() if i % 5 == 0 else None, None if i % 7 == 0 else [{"text": word() if rng.random() < 0.9 else None, "learns": rng.random() < 0.5} for _ in range(rng.randrange(4))]) for i in range(100)]
+    rows[50] = (50, "y" * packing.CHUNK * 2, None)
+    kind = pa.schema([("id", pa.int64()), ("text", pa.string()), ("segments", pa.list_(pa.struct([("text", pa.string()), ("learns", pa.bool_())])))])
+    whole = pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], kind)
+    got = [r for b in packing.encoded(iter([whole.slice(0, 0), whole.slice(0, 30), whole.slice(30)]), Bytes()) for r in b.to_pylist()]
+    parts = [[(f"<|bos|>\n{t}\n<|eos|>", True)] if t is not None else [(x["text"] or "", x["learns"]) for x in s or ()] for _, t, s in rows]
+    assert got == [{"id": i, "tokens": [c for t, _ in p for c in t.encode()], "mask": [int(k) for t, k in p for _ in t.encode()]} for i, p in enumerate(parts)]
+    assert len(sizes) > 10 and sorted(sizes)[-2] <= packing.CHUNK + 16 * 100 and sorted(sizes)[-1] > packing.CHUNK
+
+
 def test_masks_from_prefix_lengths(spark):
     df = spark.createDataFrame([([2, 3, 4, 1], [False, True, False, True], [2, 9], [5, 10], 10), ([], [], [], [], 0)], "n ARRAY<INT>, learns ARRAY<BOOLEAN>, b ARRAY<INT>, t ARRAY<INT>, size INT")
     got = df.select(packing.span_mask(F.col("n"), F.col("learns")).alias("x"), packing.prefix_mask(F.col("b"), F.col("t"), F.col("size")).alias("y")).collect()
