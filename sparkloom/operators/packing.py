@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,8 @@ from sparkloom.operators.lineage import cut, sized
 from sparkloom.operators.trajectories import BOS, EOS
 
 IGNORE = -100
+# Fixed value: how byte-level BPE files split texts.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def with_offsets(rows: DataFrame, order: str, size: str, parts: int | None = None) -> DataFrame:
@@ -157,6 +161,57 @@ def _tokenizer(vocabulary: str, most_id: int):
     return tokenizer
 
 
+#: What a byte-level BPE file must not set for its ids to follow from its merges alone.
+_OPTIONS = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+#: Longer texts are left to the file's own tokenizer (long runs of blanks overflow the other one's expressions).
+SHORT = 1 << 16
+
+
+def _plain(tokenizer):
+    """The ids of a short ASCII text by ``tiktoken`` if ``tokenizer`` is a byte-level BPE for which it gives the same ones, else None.
+
+    It merges by ids and may put any two neighbours together that make a token. That is the same if ids follow the order of the
+    merges and every token, encoded by its merges, is itself: else some token could be made in a way that no merge allows.
+    """
+    f = json.loads(tokenizer.to_str())
+    m, before, added = f["model"], f["pre_tokenizer"] or {}, f["added_tokens"]
+    if m["type"] != "BPE" or any(m.get(k) for k in _OPTIONS) or f["normalizer"] or f["truncation"] or f["padding"]:
+        return None
+    if before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before.get("use_regex", True) or len(added) > 1 or any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip")):
+        return None
+    special = {x["content"]: x["id"] for x in added}
+    words = {w: i for w, i in m["vocab"].items() if w not in special}
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*seen}))}
+    made = [m["vocab"][a + b] for a, b in (x if isinstance(x, list) else x.split(" ") for x in m["merges"])]
+    if made != sorted({*made}) or {*byte} - {*words} or len(words) != len(made) + 256 or not {*"".join(words)} <= {*byte}:
+        return None
+    if any([t.id for t in tokenizer.model.tokenize(w)] != [i] for w, i in words.items()):
+        return None
+    try:
+        import tiktoken
+    except ImportError:
+        return None
+    fast = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks={bytes(map(byte.__getitem__, w)): i for w, i in words.items()}, special_tokens=special)
+    return lambda t: fast.encode_to_numpy(t, allowed_special="all")
+
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str, most_id: int):
+    """A function from texts to their ids by a tokenizer file. Short ASCII texts take a faster way to the same ids, where there is one."""
+    tokenizer = _tokenizer(vocabulary, most_id)
+    own = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    if (fast := _plain(tokenizer)) is None:
+        return own
+
+    def encode(texts: list[str]) -> list:
+        short = [len(t) <= SHORT and t.isascii() for t in texts]
+        rest = iter(own([t for t, s in zip(texts, short) if not s]))
+        return [fast(t) if s else next(rest) for t, s in zip(texts, short)]
+
+    return encode
+
+
 #: Bytes of text that are encoded at a time.
 CHUNK = 1 << 18
 
@@ -176,12 +231,12 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[pa.
             first = last
 
 
-def encoded(batches: Iterator[pa.RecordBatch], tokenizer) -> Iterator[pa.RecordBatch]:
-    """Batches (key, tokens, mask) for ``batches`` (key, text, segments), see ``encode_records``."""
+def encoded(batches: Iterator[pa.RecordBatch], encode) -> Iterator[pa.RecordBatch]:
+    """Batches (key, tokens, mask) for ``batches`` (key, text, segments); ``encode`` gives the ids of texts, see ``encode_records``."""
     kind = lambda a: pa.array(a, pa.int32())
     for b in chunks(batches):
         parts = [[(f"{BOS}\n{t}\n{EOS}", True)] if t is not None else [(x["text"] or "", bool(x["learns"])) for x in s or ()] for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        ids = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast([t for p in parts for t, _ in p], add_special_tokens=False)]
+        ids = [np.array(x, np.int32) for x in encode([t for p in parts for t, _ in p])]
         ends = np.cumsum([0, *map(len, ids)])
         starts = kind(ends[np.cumsum([0, *map(len, parts)])])
         mask = np.repeat(np.array([learns for p in parts for _, learns in p], np.int32), np.diff(ends))
@@ -218,6 +273,6 @@ def encode_records(df: DataFrame, vocabulary: str, key: str, text: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        return encoded(batches, _tokenizer(vocabulary, most_id))
+        return encoded(batches, encoder(vocabulary, most_id))
 
     return src.mapInArrow(run, schema)

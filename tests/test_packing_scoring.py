@@ -1,5 +1,4 @@
 import random
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import arrays
 from sparkloom.functions.schema_rules import argument_error, violations
 from sparkloom.operators import packing, scoring, workspace
+from sparkloom.plans.tables import TOKENIZER_DIR
 
 
 def streams(spark, rows):
@@ -87,10 +87,9 @@ def test_records_are_encoded_segment_by_segment(spark, tmp_path):
 def test_large_batches_are_encoded_by_slices():
     sizes = []
 
-    class Bytes:
-        def encode_batch_fast(self, texts, add_special_tokens):
-            sizes.append(sum(map(len, texts)))
-            return [SimpleNamespace(ids=list(t.encode())) for t in texts]
+    def encode(texts):
+        sizes.append(sum(map(len, texts)))
+        return [list(t.encode()) for t in texts]
 
     rng = random.Random(3)
     n = packing.CHUNK // 8
@@ -99,12 +98,28 @@ def test_large_batches_are_encoded_by_slices():
     rows[50] = (50, "y" * packing.CHUNK * 2, None)
     kind = pa.schema([("id", pa.int64()), ("text", pa.string()), ("segments", pa.list_(pa.struct([("text", pa.string()), ("learns", pa.bool_())])))])
     whole = pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], kind)
-    got = [r for b in packing.encoded(iter([whole.slice(0, 0), whole.slice(0, 30), whole.slice(30)]), Bytes()) for r in b.to_pylist()]
+    got = [r for b in packing.encoded(iter([whole.slice(0, 0), whole.slice(0, 30), whole.slice(30)]), encode) for r in b.to_pylist()]
     parts = [[(f"<|bos|>\n{t}\n<|eos|>", True)] if t is not None else [(x["text"] or "", x["learns"]) for x in s or ()] for _, t, s in rows]
     assert got == [{"id": i, "tokens": [c for t, _ in p for c in t.encode()], "mask": [int(k) for t, k in p for _ in t.encode()]} for i, p in enumerate(parts)]
     assert len(sizes) > 10 and sorted(sizes)[-2] <= packing.CHUNK + 16 * 100 and sorted(sizes)[-1] > packing.CHUNK
 
 
+def test_faster_encoding_gives_the_ids_of_the_file(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    file = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+    t = tokenizers.Tokenizer.from_file(file)
+    assert packing._plain(t) is not None
+    rng = random.Random(7)
+    words = [*map(chr, range(128)), "<|endoftext|>", "<|", "|>", "'re", "\n\n", "    ", " the", "return", "é", "中", "\u00a0", "😀"]
+    texts = ["", " " * 70_000 + "x", "a" * 70_000, " " * 60_000 + "x", *("".join(rng.choices(words, k=rng.randrange(30))) for _ in range(5000))]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert [list(x) for x in packing.encoder(file, 65_535)(texts)] == want
+    t.normalizer = tokenizers.normalizers.Lowercase()
+    assert packing._plain(t) is None
+    t.save(f"{tmp_path}/t.json")
+    assert packing.encoder(f"{tmp_path}/t.json", 65_535)(["The"]) == [t.encode("the").ids]
+
+
 def test_masks_from_prefix_lengths(spark):
     df = spark.createDataFrame([([2, 3, 4, 1], [False, True, False, True], [2, 9], [5, 10], 10), ([], [], [], [], 0)], "n ARRAY<INT>, learns ARRAY<BOOLEAN>, b ARRAY<INT>, t ARRAY<INT>, size INT")
     got = df.select(packing.span_mask(F.col("n"), F.col("learns")).alias("x"), packing.prefix_mask(F.col("b"), F.col("t"), F.col("size")).alias("y")).collect()
