@@ -1,5 +1,9 @@
 """Queries over small tables of their own, where a cut of long rows would show."""
 
+import re
+from pathlib import Path
+
+import psutil
 from conftest import MESSAGE, message
 
 from sparkloom.operators import corpus
@@ -35,3 +39,29 @@ def test_children_lists_whole_folders(spark, tmp_path):
     spark.createDataFrame([("s", f"f{i:03}.py", "", True, None) for i in range(30)], FILE).write.parquet(f"{tmp_path}/tracked_files.parquet")
     got = catalogue.QUERIES["children"](spark, str(tmp_path)).collect()
     assert len(got) == 30 and not any(r.truncated for r in got)
+
+
+def test_token_shards_keep_workers_small(spark, tmp_path):
+    def write(name, rows, n):
+        said = [(i, "s", [message("user", f"{name} {i} " + " ".join(f"w{i * j % 9973}" for j in range(n))), message("assistant", "done", channel="result")], None, None) for i in range(rows)]
+        spark.createDataFrame(said, f"traj_id BIGINT, source_id STRING, messages ARRAY<{MESSAGE}>, metadata STRING, recorded_at TIMESTAMP").coalesce(1).write.parquet(f"{tmp_path}/{name}/trajectories.parquet")
+        return lambda: catalogue.QUERIES["token_shards"](spark, f"{tmp_path}/{name}").collect()
+
+    def memory(field):
+        found = {}
+        for p in psutil.Process().children(recursive=True):
+            try:
+                if "pyspark.daemon" in " ".join(p.cmdline()):
+                    found[p.pid] = int(re.search(rf"{field}:\s+(\d+)", Path(f"/proc/{p.pid}/status").read_text())[1]) // 1024
+            except (psutil.Error, OSError, TypeError):
+                pass
+        return found
+
+    small, large = write("small", 40, 10), write("large", 2000, 1500)
+    small()
+    for pid in (before := memory("VmRSS")):
+        Path(f"/proc/{pid}/clear_refs").write_text("5")  # the peak begins anew
+    got = sorted((r.shard, r.tokens) for r in large())
+    assert got[0] == (0, 65_536) and all(n == 65_536 for _, n in got[:-1]) and len(got) > 50
+    grown = {p: n - before.get(p, max(before.values())) for p, n in memory("VmHWM").items()}
+    assert max(grown.values()) < 120, grown
