@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from sparkloom.operators.lineage import cut, sized
-from sparkloom.operators.trajectories import BOS, EOS
+from sparkloom.operators.trajectories import BOS, EOS, plain_segments
 
 IGNORE = -100
 # Fixed value: how byte-level BPE files split texts.
@@ -216,32 +216,51 @@ def encoder(vocabulary: str, most_id: int):
 CHUNK = 1 << 18
 
 
+def _bytes(c: pa.Array) -> np.ndarray:
+    """Bytes of text in each row of a column of texts, or of arrays of structs that hold texts."""
+    if not pa.types.is_nested(c.type):
+        return pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    items = c.flatten()
+    each = sum((_bytes(x) for x in items.flatten() if pa.types.is_string(x.type)), np.zeros(len(items), np.int64))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False))
+    return np.diff(np.append(0, np.cumsum(each))[np.append(0, ends)])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batches`` (key, text, segments) whose texts have no more than ``most`` bytes, or of one row."""
-    length = lambda c: pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    """Slices of ``batches`` (key, then columns as ``_bytes`` takes) whose texts have no more than ``most`` bytes, or of one row."""
     for b in batches:
-        pieces = np.cumsum([0, *length(b.column(2).flatten().flatten()[0])])
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
-        upto = np.cumsum(length(b.column(1))) + pieces[ends]
+        upto = np.cumsum(sum(_bytes(c) for c in b.columns[1:]))
         first = 0
         while first < b.num_rows:
             before = upto[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(upto, before + most, "right")))
             yield b.slice(first, last - first)
             first = last
+        del b
+
+
+def _parts(b: pa.RecordBatch) -> list[list[tuple[str, bool]]]:
+    """Texts of each row (key, text, segments), and whether they are learnt."""
+    return [[(f"{BOS}\n{t}\n{EOS}", True)] if t is not None else [(x["text"] or "", bool(x["learns"])) for x in s or ()] for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+
 
+def _conversations(b: pa.RecordBatch) -> list[list[tuple[str, bool]]]:
+    """As ``_parts``, of rows (key, messages)."""
+    return [plain_segments(m) or [] for m in b.column(1).to_pylist()]
 
-def encoded(batches: Iterator[pa.RecordBatch], encode) -> Iterator[pa.RecordBatch]:
-    """Batches (key, tokens, mask) for ``batches`` (key, text, segments); ``encode`` gives the ids of texts, see ``encode_records``."""
+
+def encoded(batches: Iterator[pa.RecordBatch], encode, texts=_parts) -> Iterator[pa.RecordBatch]:
+    """Batches (key, tokens, mask) for ``batches`` whose rows ``texts`` reads; ``encode`` gives the ids of texts, see ``encode_records``."""
     kind = lambda a: pa.array(a, pa.int32())
     for b in chunks(batches):
-        parts = [[(f"{BOS}\n{t}\n{EOS}", True)] if t is not None else [(x["text"] or "", bool(x["learns"])) for x in s or ()] for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        key, parts, name = pa.array(b.column(0).to_pylist(), b.schema.types[0]), texts(b), b.schema.names[0]
+        del b  # its batch is then free when the next one is read
         ids = [np.array(x, np.int32) for x in encode([t for p in parts for t, _ in p])]
         ends = np.cumsum([0, *map(len, ids)])
         starts = kind(ends[np.cumsum([0, *map(len, parts)])])
         mask = np.repeat(np.array([learns for p in parts for _, learns in p], np.int32), np.diff(ends))
         tokens = np.concatenate([np.empty(0, np.int32), *ids])
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.ListArray.from_arrays(starts, kind(a)) for a in (tokens, mask))], [b.schema.names[0], "tokens", "mask"])
+        yield pa.RecordBatch.from_arrays([key, *(pa.ListArray.from_arrays(starts, kind(a)) for a in (tokens, mask))], [name, "tokens", "mask"])
 
 
 def encode_with(df: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens", most_id: int = 65_535) -> DataFrame:
@@ -269,10 +288,21 @@ def encode_records(df: DataFrame, vocabulary: str, key: str, text: str | None =
     """
     none = F.lit(None)
     src = df.select(key, (F.col(text) if text else none.cast("string")).alias("text"), (F.col(segments) if segments else none.cast("array<struct<text:string,learns:boolean>>")).alias("segments"))
-    schema = T.StructType([src.schema[key], T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
+    return _encode(src, vocabulary, most_id, _parts)
+
+
+def encode_conversations(df: DataFrame, vocabulary: str, key: str, messages: str = "messages", most_id: int = 65_535) -> DataFrame:
+    """As ``encode_records`` of ``trajectories.serialize``, in one Python worker a task: each worker holds a tokenizer and a whole
+    batch, and stays with its memory after its task. Records with an error have no tokens."""
+    return _encode(df.select(key, messages), vocabulary, most_id, _conversations)
+
+
+def _encode(src: DataFrame, vocabulary: str, most_id: int, texts) -> DataFrame:
+    schema = T.StructType([src.schema.fields[0], T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        return encoded(batches, encoder(vocabulary, most_id))
+        yield from encoded(batches, encoder(vocabulary, most_id), texts)
+        pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     return src.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ or shuffling. Only parsing of JSON decisions uses Python, by Arrow batches over
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -124,6 +125,29 @@ def segments(messages: Column) -> Column:
     return F.concat(F.array(piece(F.lit(BOS), F.lit(False))), turns, F.array(piece(F.lit(EOS), F.lit(False))))
 
 
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def plain_segments(messages) -> list[tuple[str, bool]] | None:
+    """(text, learns) of the ``segments`` of one raw record, as ``serialize`` gives them; None for a record with an error.
+
+    For what runs in Python anyway: one worker a task then takes messages to their end, without a second one for the decisions.
+    """
+    error, turns = canonical_messages(messages)
+    if error or any(m["role"] not in ROLE_MARKS for m in turns):
+        return None
+    quoted = lambda t: '"' + re.sub(r'["\\\x00-\x1f]', lambda c: _ESCAPES.get(c[0]) or f"\\u{ord(c[0]):04X}", t) + '"'
+
+    def content(m: dict) -> str:
+        if m["role"] == "assistant":
+            plan = f"{PLAN}\n{m['plan']}\n" if m["plan"] is not None else ""
+            return plan + (f"{RESULT}\n{m['result'] or ''}" if m["action_name"] is None else f'{ACTION}\n{{"arguments":{m["arguments"]},"name":{quoted(m["action_name"])}}}')
+        seen = f"name={'environment' if m['name'] is None else m['name']}\n" if m["role"] in ("tool", "observation") else ""
+        return seen + (m["content"] or "")
+
+    return [(BOS, False), *((f"{ROLE_MARKS[m['role']]}\n{content(m)}\n{TURN_END}\n", m["role"] == "assistant") for m in turns), (EOS, False)]
+
+
 def unknown_role(messages: Column) -> Column:
     return F.exists(messages, lambda m: ~F.coalesce(m["role"].isin(*ROLE_MARKS), F.lit(False)))
 

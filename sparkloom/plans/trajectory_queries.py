@@ -111,7 +111,7 @@ def training_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.encode_records(tr.serialize(trajectories(spark, sf_dir)), f"{TOKENIZER_DIR}/byte_bpe_50k.json", "traj_id")
+    return packing.encode_conversations(trajectories(spark, sf_dir), f"{TOKENIZER_DIR}/byte_bpe_50k.json", "traj_id")
 
 
 def encoded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

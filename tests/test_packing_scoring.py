@@ -3,11 +3,13 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from conftest import MESSAGE, message
 from pyspark.sql import functions as F
 
 from sparkloom.functions import arrays
 from sparkloom.functions.schema_rules import argument_error, violations
 from sparkloom.operators import packing, scoring, workspace
+from sparkloom.operators import trajectories as tr
 from sparkloom.plans.tables import TOKENIZER_DIR
 
 
@@ -104,6 +106,16 @@ def test_large_batches_are_encoded_by_slices():
     assert len(sizes) > 10 and sorted(sizes)[-2] <= packing.CHUNK + 16 * 100 and sorted(sizes)[-1] > packing.CHUNK
 
 
+def test_conversations_are_encoded_as_their_segments(spark):
+    pytest.importorskip("tokenizers")
+    talk = [message("user", "go é"), message("assistant", "think", channel="plan"), message("assistant", action='{"name": "a\\u001b", "arguments": {"x": 1}}'), message("tool", None, "t"), message("assistant", "done", channel="result")]
+    rows = [(0, talk), (1, [message("admin", "x")]), (2, []), (3, None), (4, [message("user", "é" * packing.CHUNK)]), *((i, talk * (i % 9)) for i in range(5, 300))]
+    df = spark.createDataFrame(rows, f"id BIGINT, messages ARRAY<{MESSAGE}>").coalesce(1)
+    file = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+    got, want = ({r.id: (r.tokens, r.mask) for r in d.collect()} for d in (packing.encode_conversations(df, file, "id"), packing.encode_records(tr.serialize(df), file, "id")))
+    assert got == want and got[1] == ([], []) and sum(got[0][1]) > 10 and got[2] == got[3] != got[1]
+
+
 def test_faster_encoding_gives_the_ids_of_the_file(tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     file = f"{TOKENIZER_DIR}/byte_bpe_50k.json"

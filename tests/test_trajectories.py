@@ -50,6 +50,25 @@ def test_serialized_segments(spark):
     assert json.loads(c) == {"result": 'é"q'} and c == json.dumps({"result": 'é"q'}, ensure_ascii=False, separators=(",", ":"))
 
 
+def test_plain_segments_equal_serialized_ones(spark):
+    rng = random.Random(5)
+    words = ["", "a", *map(chr, range(1, 32)), "\x7f", '"', "\\", "/", "é", "\u2028", "😀", "\n", " x "]
+    text = lambda: rng.choice([None, "", "".join(rng.choices(words, k=rng.randrange(9)))])
+    action = lambda: {"name": "".join(rng.choices(words, k=5)), "arguments": {text() or "k": rng.choice([1, 1.5, None, text()])}}
+    decision = lambda: {"plan": text()} | rng.choice([{"action": action()}, {"result": text()}, {"result": 1}])
+
+    def turn():
+        if rng.random() < 0.5:
+            return message(rng.choice(["system", "user", "tool", "observation", "tool", "user", rng.choice([None, "admin", "user"])]), text(), text())
+        return rng.choice([lambda: message("assistant", text(), channel=rng.choice([None, "result", "plan"])), lambda: message("assistant", action=json.dumps(action())), lambda: message("assistant", decision=json.dumps(decision()))])()
+
+    rows = [(i, None if i % 97 == 0 else [None if rng.random() < 0.01 else turn() for _ in range(rng.randrange(5))]) for i in range(2000)]
+    df = spark.createDataFrame(rows, f"id BIGINT, messages ARRAY<{MESSAGE}>")
+    got = {r.id: r.messages and [m and m.asDict() for m in r.messages] for r in df.collect()}
+    want = {r.id: None if r.segments is None else [tuple(s) for s in r.segments] for r in tr.serialize(df).collect()}
+    assert {i: tr.plain_segments(m) for i, m in got.items()} == want and 300 < sum(s is None for s in want.values()) < 1500
+
+
 def test_observations_must_match(spark):
     a = message("assistant", action=ACTION)
     t = message("tool", "{}", "workspace.read")

@@ -65,3 +65,11 @@ def test_token_shards_keep_workers_small(spark, tmp_path):
     assert got[0] == (0, 65_536) and all(n == 65_536 for _, n in got[:-1]) and len(got) > 50
     grown = {p: n - before.get(p, max(before.values())) for p, n in memory("VmHWM").items()}
     assert max(grown.values()) < 120, grown
+
+
+def test_token_shards_take_one_worker_a_task(spark, tmp_path):
+    said = [(i, "s", [message("user", f"go {i}"), message("assistant", "done", channel="result")], None, None) for i in range(9)]
+    spark.createDataFrame(said, f"traj_id BIGINT, source_id STRING, messages ARRAY<{MESSAGE}>, metadata STRING, recorded_at TIMESTAMP").write.parquet(f"{tmp_path}/trajectories.parquet")
+    plan = catalogue.QUERIES["encoded_segments"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") and not re.search("EvalPython", plan)
+    assert len(catalogue.QUERIES["token_shards"](spark, str(tmp_path)).collect()) == 1
