@@ -249,18 +249,18 @@ def _conversations(b: pa.RecordBatch) -> list[list[tuple[str, bool]]]:
     return [plain_segments(m) or [] for m in b.column(1).to_pylist()]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], encode, texts=_parts) -> Iterator[pa.RecordBatch]:
-    """Batches (key, tokens, mask) for ``batches`` whose rows ``texts`` reads; ``encode`` gives the ids of texts, see ``encode_records``."""
-    kind = lambda a: pa.array(a, pa.int32())
+def encoded(batches: Iterator[pa.RecordBatch], encode, texts=_parts, kinds=(np.int32, np.int32)) -> Iterator[pa.RecordBatch]:
+    """Batches (key, tokens, mask) for ``batches`` whose rows ``texts`` reads; ``encode`` gives the ids of texts, see ``encode_records``.
+    ``kinds``: of tokens and mask."""
     for b in chunks(batches):
         key, parts, name = pa.array(b.column(0).to_pylist(), b.schema.types[0]), texts(b), b.schema.names[0]
         del b  # its batch is then free when the next one is read
         ids = [np.array(x, np.int32) for x in encode([t for p in parts for t, _ in p])]
         ends = np.cumsum([0, *map(len, ids)])
-        starts = kind(ends[np.cumsum([0, *map(len, parts)])])
+        starts = pa.array(ends[np.cumsum([0, *map(len, parts)])], pa.int32())
         mask = np.repeat(np.array([learns for p in parts for _, learns in p], np.int32), np.diff(ends))
         tokens = np.concatenate([np.empty(0, np.int32), *ids])
-        yield pa.RecordBatch.from_arrays([key, *(pa.ListArray.from_arrays(starts, kind(a)) for a in (tokens, mask))], [name, "tokens", "mask"])
+        yield pa.RecordBatch.from_arrays([key, *(pa.ListArray.from_arrays(starts, pa.array(a.astype(k))) for a, k in zip((tokens, mask), kinds))], [name, "tokens", "mask"])
 
 
 def encode_with(df: DataFrame, vocabulary: str, text: str = "text", out: str = "tokens", most_id: int = 65_535) -> DataFrame:
@@ -291,18 +291,25 @@ def encode_records(df: DataFrame, vocabulary: str, key: str, text: str | None =
     return _encode(src, vocabulary, most_id, _parts)
 
 
-def encode_conversations(df: DataFrame, vocabulary: str, key: str, messages: str = "messages", most_id: int = 65_535) -> DataFrame:
+def encode_conversations(df: DataFrame, vocabulary: str, key: str, messages: str = "messages", most_id: int = 65_535, narrow: bool = False) -> DataFrame:
     """As ``encode_records`` of ``trajectories.serialize``, in one Python worker a task: each worker holds a tokenizer and a whole
-    batch, and stays with its memory after its task. Records with an error have no tokens."""
-    return _encode(df.select(key, messages), vocabulary, most_id, _conversations)
+    batch, and stays with its memory after its task. Records with an error have no tokens.
+
+    ``narrow``: tokens of 16 bits and a mask of 8, which take two thirds of the disk where they are written or shuffled; ids
+    from 32,768 on are negative then (``token & 65535`` is the id).
+    """
+    if narrow and most_id > 65_535:
+        raise ValueError("ids of more than 16 bits can't be narrow")
+    return _encode(df.select(key, messages), vocabulary, most_id, _conversations, narrow)
 
 
-def _encode(src: DataFrame, vocabulary: str, most_id: int, texts) -> DataFrame:
-    schema = T.StructType([src.schema.fields[0], T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("mask", T.ArrayType(T.IntegerType()))])
+def _encode(src: DataFrame, vocabulary: str, most_id: int, texts, narrow: bool = False) -> DataFrame:
+    token, flag, *kinds = (T.ShortType(), T.ByteType(), np.int16, np.int8) if narrow else (T.IntegerType(), T.IntegerType(), np.int32, np.int32)
+    schema = T.StructType([src.schema.fields[0], T.StructField("tokens", T.ArrayType(token)), T.StructField("mask", T.ArrayType(flag))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        yield from encoded(batches, encoder(vocabulary, most_id), texts)
+        yield from encoded(batches, encoder(vocabulary, most_id), texts, kinds)
         pa.default_memory_pool().release_unused()  # the worker stays for later tasks
 
     return src.mapInArrow(run, schema)

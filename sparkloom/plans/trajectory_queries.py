@@ -110,8 +110,8 @@ def training_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("traj_id", F.length("t").cast("bigint").alias("chars"), F.sha2("t", 256).alias("text_sha256"))
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.encode_conversations(trajectories(spark, sf_dir), f"{TOKENIZER_DIR}/byte_bpe_50k.json", "traj_id")
+def _encoded(spark: SparkSession, sf_dir: str, narrow: bool = False) -> DataFrame:
+    return packing.encode_conversations(trajectories(spark, sf_dir), f"{TOKENIZER_DIR}/byte_bpe_50k.json", "traj_id", narrow=narrow)
 
 
 def encoded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +121,8 @@ def encoded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations from text to packed shards of real ids."""
-    p = packing.pack(cut(_encoded(spark, sf_dir)), "traj_id", "tokens", "mask", 65_536)
+    """Conversations from text to packed shards of real ids, as 16-bit numbers."""
+    p = packing.pack(cut(_encoded(spark, sf_dir, narrow=True)), "traj_id", "tokens", "mask", 65_536)
     return p.select(F.col("shard").cast("bigint").alias("shard"), F.size("tokens").cast("bigint").alias("tokens"), F.aggregate("mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("supervised"))
 
 

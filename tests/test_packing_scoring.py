@@ -116,6 +116,18 @@ def test_conversations_are_encoded_as_their_segments(spark):
     assert got == want and got[1] == ([], []) and sum(got[0][1]) > 10 and got[2] == got[3] != got[1]
 
 
+def test_narrow_tokens_keep_the_ids(spark):
+    pytest.importorskip("tokenizers")
+    df = spark.createDataFrame([(i, [message("user", " ".join(map(chr, range(i * 99 + 33, i * 99 + 132)))), message("assistant", "done", channel="result")]) for i in range(40)], f"id BIGINT, messages ARRAY<{MESSAGE}>")
+    file = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
+    n = packing.encode_conversations(df, file, "id", narrow=True)
+    assert n.schema["tokens"].dataType.simpleString() == "array<smallint>" and n.schema["mask"].dataType.simpleString() == "array<tinyint>"
+    want = {r.id: (r.tokens, r.mask) for r in packing.encode_conversations(df, file, "id").collect()}
+    assert {r.id: ([t & 65_535 for t in r.tokens], r.mask) for r in n.collect()} == want and max(t for x, _ in want.values() for t in x) > 32_767
+    flat = lambda d: [(r.shard, [t & 65_535 for t in r.tokens], r.mask) for r in packing.pack(d, "id", "tokens", "mask", 100).orderBy("shard").collect()]
+    assert flat(n) == flat(packing.encode_conversations(df, file, "id"))
+
+
 def test_faster_encoding_gives_the_ids_of_the_file(tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     file = f"{TOKENIZER_DIR}/byte_bpe_50k.json"
